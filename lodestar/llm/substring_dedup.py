@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOBS, Ranges, buffers, gathered, materialize, mix, packed, partitions, table
+from .common import BLOBS, Ranges, buffers, columns_of, from_columns, gathered, materialize, mix, packed, partitions, table
 
 LENGTH, SPAN, SEGMENT = 100, 64, 1 << 22
 GRAM = 8
 #: A trigger with its interval of string starts, place - high .. place - low; repeated if `done`.
-PHRASE = np.dtype([("core", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
+#: `whole` is the phrase's hash in 48 bits; it only tells phrases with one core apart.
+PHRASE = np.dtype([("core", "<u8"), ("whole", "<u4"), ("more", "<u2"), ("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
 STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("place", "<u4")])
 INTERVAL = np.dtype([("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
 RIM = np.dtype([("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
@@ -82,6 +83,15 @@ def first_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return flag
 
 
+def first_phrases(r: np.ndarray) -> np.ndarray:
+    """Flags of the first of equal phrases in corpus order."""
+    order = np.lexsort((r["place"], r["doc"], r["more"], r["whole"], r["core"]))
+    k, flag = r[order], np.zeros(len(r), bool)
+    if len(r):
+        flag[order] = np.concatenate([[True], (k["core"][1:] != k["core"][:-1]) | (k["whole"][1:] != k["whole"][:-1]) | (k["more"][1:] != k["more"][:-1])])
+    return flag
+
+
 def _phrases(batches, length: int, span: int, buckets: int):
     """Packed rows: phrases (first byte 1), and intervals found repeated within the task (first byte 0, bucket -1 - ...)."""
     held, size = [], 0
@@ -90,8 +100,7 @@ def _phrases(batches, length: int, span: int, buckets: int):
         if not held:
             return
         r = np.concatenate(held)
-        order = np.lexsort((r["place"], r["doc"], r["whole"]))
-        first = first_of(r["whole"], order)
+        first = first_phrases(r)
         yield from _marked(r[~first], b"\0", r["core"][~first], buckets)
         yield from _marked(r[first], b"\1", r["core"][first], buckets)
 
@@ -103,7 +112,8 @@ def _phrases(batches, length: int, span: int, buckets: int):
             ranges = Ranges(part)
             r = np.empty(len(place), PHRASE)
             r["core"] = ranges.of(place, place + length - span + 1)
-            r["whole"] = mix(ranges.of(place - high, place - low + length) + (low * 256 + high).astype(np.uint64), 5)
+            whole = mix(ranges.of(place - high, place - low + length) + (low * 256 + high).astype(np.uint64), 5)
+            r["whole"], r["more"] = whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(48)
             r["doc"], r["place"], r["low"], r["high"] = i, place + base, low, high
             held.append(r)
             size += len(r)
@@ -114,7 +124,7 @@ def _phrases(batches, length: int, span: int, buckets: int):
 
 
 def _marked(records: np.ndarray, flag: bytes, key: np.ndarray, buckets: int):
-    for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS):
+    for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS, columns_of):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flag + x for x in b.column(1).to_pylist()], pa.binary())], schema=BLOBS)
 
 
@@ -136,10 +146,10 @@ def _sorted_phrases(shards: int):
     """Kind 0: repeated intervals; kind 1: rims, first phrases under a core that others share."""
 
     def step(_, blobs):
-        repeated = [np.frombuffer(b, PHRASE, offset=1) for b in blobs if b[0] == 0]
-        posted = [np.frombuffer(b, PHRASE, offset=1) for b in blobs if b[0] == 1]
+        repeated = [from_columns(b, PHRASE, 1) for b in blobs if b[0] == 0]
+        posted = [from_columns(b, PHRASE, 1) for b in blobs if b[0] == 1]
         r = np.concatenate(posted) if posted else np.zeros(0, PHRASE)
-        first = first_of(r["whole"], np.lexsort((r["place"], r["doc"], r["whole"])))
+        first = first_phrases(r)
         yield from _by_document(_intervals(np.concatenate([*repeated, r[~first]])), 0, shards)
         r = r[first]
         _, group, count = np.unique(r["core"], return_inverse=True, return_counts=True)
@@ -213,8 +223,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN)
         yield from flush()
 
     def settled(_, blobs):
-        repeated = [np.frombuffer(b, STRING, offset=1) for b in blobs if b[0] == 0]
-        posted = [np.frombuffer(b, STRING, offset=1) for b in blobs if b[0] == 1]
+        repeated = [from_columns(b, STRING, 1) for b in blobs if b[0] == 0]
+        posted = [from_columns(b, STRING, 1) for b in blobs if b[0] == 1]
         r = np.concatenate(posted) if posted else np.zeros(0, STRING)
         first = first_of(r["hash"], np.lexsort((r["place"], r["doc"], r["hash"])))
         r = np.concatenate([*repeated, r[~first]])
