@@ -192,15 +192,15 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN)
     rims = gathered(found.where("kind = 1").select("bucket", "blob"), _per_document(RIM), "key long, found binary", n)
 
     def strings(batches):
-        held, size = [], 0
+        held, cores, size = [], [], 0
 
         def flush():
             if held:
-                r = np.concatenate(held)
-                order = np.lexsort((r["place"], r["doc"], r["hash"]))
-                first = first_of(r["hash"], order)
-                yield from _marked(r[~first], b"\0", r["hash"][~first], buckets)
-                yield from _marked(r[first], b"\1", r["hash"][first], buckets)
+                r, core = np.concatenate(held), np.concatenate(cores)
+                first = first_of(r["hash"], np.lexsort((r["place"], r["doc"], r["hash"])))
+                # equal strings have one trigger and so one core; a phrase's strings stay side by side
+                yield from _marked(r[~first], b"\0", core[~first], buckets)
+                yield from _marked(r[first], b"\1", core[first], buckets)
 
         for batch in batches:
             data, offsets = buffers(batch["text"])
@@ -215,11 +215,13 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN)
                     starts = np.repeat(own["place"].astype(np.int64) - own["high"], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                     r = np.empty(len(starts), STRING)
                     r["hash"], r["doc"], r["place"] = ranges.of(starts - base, starts - base + length), i, starts
+                    at = own["place"].astype(np.int64) - base
                     held.append(r)
+                    cores.append(np.repeat(ranges.of(at, at + length - span + 1), many))
                     size += len(r)
                 if size > 500_000:
                     yield from flush()
-                    held, size = [], 0
+                    held, cores, size = [], [], 0
         yield from flush()
 
     def settled(_, blobs):
