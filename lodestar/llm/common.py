@@ -127,44 +127,60 @@ class Ranges:
         return mix((self.sums[e] - self.sums[s]) * self.down[s] + (e - s).astype(np.uint64))
 
 
-# ---- fixed-size counters ----
+# ---- counters of bounded size ----
+
+_COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
+_ZSTD = pa.Codec("zstd")
 
 
 def counters(batches, hashes_of, width: int, slices: int):
     """Count hashed values in `width` saturating 16-bit counters a partition; rows (slice, counts) at its end."""
-    total, held, size = np.zeros(width, np.uint32), [], 0
+    total, held, size, mask = np.zeros(width, np.uint16), [], 0, np.uint64(width - 1)
+
+    def settle():
+        at, n = np.unique(np.concatenate(held) & mask, return_counts=True)
+        total[at] = np.minimum(total[at] + n, 65535)
+
     for batch in batches:
         h = hashes_of(batch)
         held.append(h)
         size += len(h)
-        if size > width // 4:
-            total += np.bincount(np.concatenate(held) & np.uint64(width - 1), minlength=width).astype(np.uint32)
+        if size > 1_500_000:
+            settle()
             held, size = [], 0
     if size:
-        total += np.bincount(np.concatenate(held) & np.uint64(width - 1), minlength=width).astype(np.uint32)
-    part = np.minimum(total, 65535).astype(np.uint16).reshape(slices, -1)
-    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [x.tobytes() for x in part]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+        settle()
+    part = total.reshape(slices, -1)
+    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [_ZSTD.compress(x.tobytes(), asbytes=True) for x in part]}, schema=_COUNTS)
 
 
-def _summed(batches):
-    out = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            x = np.frombuffer(x, np.uint16).astype(np.uint32)
-            sums[k] = sums[k] + x if k in sums else x
-    if sums:
-        yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [x.tobytes() for x in sums.values()]}, schema=out)
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte, in order: exact below 128, then eight steps for each doubling."""
+    high = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)).astype(np.int64)
+    return np.where(counts < 128, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+def _summed(width: int):
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                x = np.frombuffer(_ZSTD.decompress(x, 2 * width), np.uint16).astype(np.uint32)
+                sums[k] = sums[k] + x if k in sums else x
+        if sums:
+            yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [scaled(x).tobytes() for x in sums.values()]}, schema=_COUNTS)
+
+    return run
 
 
 def sketch(df: DataFrame, hashes_of, width: int, slices: int = 64) -> np.ndarray:
-    """Counts of hashed values over all rows of df in `width` counters. Its size is fixed by `width`, whatever the
-    input, so the driver can hold it and broadcast it; partial counts are summed slice by slice on the executors."""
+    """Scaled counts of hashed values over all rows of df in `width` one-byte counters. The callers bound `width`, whatever
+    the input, so the driver can hold it and broadcast it; partial counts are summed slice by slice on the executors."""
     parts = df.mapInArrow(lambda it: counters(it, hashes_of, width, slices), "slice int, counts binary")
-    done = parts.repartition(min(slices, partitions(df.sparkSession)), "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    out = np.zeros((slices, width // slices), np.uint32)
+    done = parts.repartition(min(slices, partitions(df.sparkSession)), "slice").mapInArrow(_summed(width // slices), "slice int, counts binary").collect()
+    out = np.zeros((slices, width // slices), np.uint8)
     for r in done:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
 

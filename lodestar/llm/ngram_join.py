@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join with grouped prefixes.
 
-1. All texts' shingles are counted in counters of fixed size. They order the shingles, rarest first; the order decides the
+1. All texts' shingles are counted in counters of bounded size. They order the shingles, rarest first; the order decides the
    speed, never the result.
 2. A set's prefix is its first n - ceil(t n) + 1 elements. Two sets that reach the threshold t share a prefix element.
    Documents with the same prefix and size collapse into one group; each group is posted once for each prefix element
@@ -28,7 +28,10 @@ from .common import BLOBS, gathered, materialize, mix, packed, partitions, runs,
 from .graph import components
 from .shingles import shingle_sets
 
-COUNTERS = 1 << 22
+#: Counters for so many shingles each, within these bounds; 32 MB is the most that is ever broadcast.
+SHINGLES_A_COUNTER, FEWEST, MOST = 8, 1 << 20, 1 << 25
+#: Bits that tell which documents' sets are wanted, approximately.
+MARKS = 1 << 22
 #: `place` is LOOSE where a posting stands for a stretch of sizes lo..hi.
 POSTING = np.dtype([("token", "<u8"), ("lo", "<u4"), ("hi", "<u4"), ("group", "<i8"), ("place", "<u4")])
 LOOSE = 0xFFFFFFFF
@@ -92,7 +95,7 @@ def _postings(batches, counts, percent: int, buckets: int):
     for batch in batches:
         elements, offsets = shingle_sets(batch["text"])
         sign = signatures(elements, offsets)
-        keys = np.minimum(counts[elements & width], 0xFFF).astype(np.uint64) << np.uint64(52) | elements & np.uint64((1 << 52) - 1)
+        keys = counts[elements & width].astype(np.uint64) << np.uint64(52) | elements & np.uint64((1 << 52) - 1)
         for s, a, b in zip(sign.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if a == b:
                 continue
@@ -159,7 +162,9 @@ def ngram_components(df: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     base = materialize(docs.mapInArrow(measuring, "doc_id long, n_shingles long, sign long"))
     reps = materialize(base.where("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     total = reps.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
-    counts = sc.broadcast(sketch(docs.select("text"), lambda b: shingle_sets(b["text"])[0], COUNTERS))  # of fixed size
+    shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
+    width = min(MOST, max(FEWEST, 1 << (int(shingles) // SHINGLES_A_COUNTER).bit_length()))
+    counts = sc.broadcast(sketch(docs.select("text"), lambda b: shingle_sets(b["text"])[0], width))
     buckets = max(n, int(total // BUCKET_POSTINGS) + 1)
 
     def meeting(_, blobs):
@@ -181,10 +186,10 @@ def ngram_components(df: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     sizes = members.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(members.join(sizes, "component").select("component", "sign", "rep", "members"))
 
-    ids = sc.broadcast(sketch(members.select("rep"), lambda b: mix(b["rep"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64), 8), COUNTERS) > 0)  # of fixed size
+    ids = sc.broadcast(sketch(members.select("rep"), lambda b: mix(b["rep"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64), 8), MARKS) > 0)
 
     def expanding(batches):
-        flags, width = ids.value, np.uint64(COUNTERS - 1)
+        flags, width = ids.value, np.uint64(MARKS - 1)
         for batch in batches:
             keep = flags[mix(batch["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64), 8) & width]
             batch = batch.filter(pa.array(keep))
