@@ -1,7 +1,253 @@
-"""All queries of the engine by name."""
+"""All queries of the engine by name. Each runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores, text
+from ..functions.lexicon import CONTRADICTION, FilterConfig
+from ..operators import beam, graph, hops, report, similarity
+from ..operators.cascade import FilterCascade
+from ..operators.samples import candidates, documents, segments
+from ..session import ship
+from .sql import SQL as SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "cascade_full"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def _segments(spark, d):
+    return segments(documents(spark, d))
+
+
+def _candidates(spark, d):
+    return candidates(documents(spark, d))
+
+
+def _words(spark, d):
+    return scores.with_words(_candidates(spark, d))
+
+
+def _tokens(spark, d):
+    return graph.tokens(_segments(spark, d))
+
+
+def _vectors(spark, d):
+    return similarity.vectors(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+@query
+def sentence_segments(spark, d):
+    return _segments(spark, d)
+
+
+@query
+def text_normalize_dedup(spark, d):
+    return _segments(spark, d).select("sample_id", "ord", text.normalize_dedup(F.col("sentence")).alias("dedup"), text.normalize_strong(F.col("sentence")).alias("strong"))
+
+
+@query
+def text_normalize_basic(spark, d):
+    return _segments(spark, d).select("sample_id", "ord", text.normalize_basic(F.col("sentence")).alias("basic"))
+
+
+@query
+def quality_analysis(spark, d):
+    parts = _words(spark, d).withColumns(scores.quality_parts(FilterConfig()))
+    return parts.select("sample_id", "ord", F.size("w").cast("long").alias("word_count"), r6("density").alias("density"), r6("structure").alias("structure"), r6("richness").alias("richness"), r6(F.round(scores.quality(), 9)).alias("quality_score"))
+
+
+@query
+def relevance_analysis(spark, d):
+    return _words(spark, d).select("sample_id", "ord", scores.overlap().cast("long").alias("overlap_count"), r6(scores.coherence()).alias("coherence"), scores.has_gram().alias("has_gram"), r6(F.round(scores.relevance(), 9)).alias("relevance_score"))
+
+
+@query
+def jaccard_overlap(spark, d):
+    return _words(spark, d).select("sample_id", "ord", r6(scores.jaccard_overlap()).alias("overlap_score"))
+
+
+@query
+def entity_analysis(spark, d):
+    return _words(spark, d).select("sample_id", "ord", scores.entity_hits().cast("long").alias("entities_found"), F.size("entities").cast("long").alias("entities_total"), r6(F.round(scores.entity_score(), 9)).alias("entity_score"))
+
+
+@query
+def contradiction_by_category(spark, d):
+    return _words(spark, d).select("sample_id", "ord", *(scores.category_hits(ps).alias(k) for k, ps in CONTRADICTION.items()), r6(F.round(scores.contradiction(FilterConfig()), 9)).alias("contradiction_score"))
+
+
+@query
+def keyword_boost(spark, d):
+    return _words(spark, d).select("sample_id", "ord", r6(scores.keyword_boost()).alias("boost"))
+
+
+def _stage(spark, d, k):
+    return FilterCascade().stages(_candidates(spark, d))[k]
+
+
+@query
+def stage1_quality(spark, d):
+    return _stage(spark, d, 1).select("sample_id", "ord", "sentence", "quality_score")
+
+
+@query
+def stage2_relevance(spark, d):
+    return _stage(spark, d, 2).select("sample_id", "ord", "sentence", "relevance_score")
+
+
+@query
+def stage3_entities(spark, d):
+    return _stage(spark, d, 3).select("sample_id", "ord", "sentence", "entity_score")
+
+
+@query
+def stage4_stance(spark, d):
+    return _stage(spark, d, 4).select("sample_id", "ord", "sentence", "stance")
+
+
+@query
+def cascade_full(spark, d):
+    return FilterCascade().transform(_candidates(spark, d)).select("sample_id", "rank", "sentence", "stance", "confidence_score")
+
+
+@query
+def cascade_stats(spark, d):
+    return FilterCascade().statistics(_candidates(spark, d))
+
+
+@query
+def multi_path_aggregate(spark, d):
+    return hops.multi_path(FilterCascade().scored(_candidates(spark, d)).select("sample_id", "sentence", F.col("quality_score").alias("score")))
+
+
+@query
+def normalized_dedup_rank(spark, d):
+    return hops.deduplicated(_segments(spark, d)).select("sample_id", "ord", "sentence", "aggregation_rank")
+
+
+@query
+def graph_word_nodes(spark, d):
+    return graph.word_nodes(_tokens(spark, d)).select("sample_id", "word", "pos", "first_ord")
+
+
+@query
+def graph_structural_edges(spark, d):
+    return graph.structural_edges(_tokens(spark, d))
+
+
+@query
+def graph_dependency_edges(spark, d):
+    return graph.dependency_edges(_tokens(spark, d))
+
+
+@query
+def graph_shared_words(spark, d):
+    return graph.shared_words(graph.structural_edges(_tokens(spark, d)))
+
+
+@query
+def graph_stats(spark, d):
+    return graph.statistics(_tokens(spark, d))
+
+
+@query
+def phrase_islands(spark, d):
+    return graph.phrases(_tokens(spark, d))
+
+
+@query
+def embedding_pairs(spark, d):
+    return similarity.pairs(_vectors(spark, d)).select("sample_id", "a_id", "b_id", "similarity")
+
+
+@query
+def semantic_edges_same_class(spark, d):
+    return similarity.semantic_edges(_vectors(spark, d)).select("a_id", "b_id", "similarity")
+
+
+@query
+def embedding_knn(spark, d):
+    return similarity.nearest(_vectors(spark, d))
+
+
+@query
+def rerank_topk(spark, d):
+    return similarity.reranked(_vectors(spark, d))
+
+
+@query
+def level_filter(spark, d):
+    return similarity.level_filtered(_vectors(spark, d))
+
+
+@query
+def similarity_buckets(spark, d):
+    return similarity.bucket_statistics(similarity.semantic_edges(_vectors(spark, d)))
+
+
+@query
+def threshold_recommendation(spark, d):
+    return similarity.recommended(similarity.to_claim(_vectors(spark, d)))
+
+
+def _coverage(spark, d):
+    rows = _candidates(spark, d)
+    return report.coverage(rows.select("sample_id"), FilterCascade().transform(rows).select("sample_id"))
+
+
+@query
+def coverage_stats(spark, d):
+    return _coverage(spark, d)
+
+
+@query
+def coverage_histogram(spark, d):
+    return report.histogram(_coverage(spark, d))
+
+
+@query
+def evidence_histogram(spark, d):
+    return report.evidence_sizes(_coverage(spark, d))
+
+
+@query
+def report_summary(spark, d):
+    s = report.summary(_coverage(spark, d))
+    return s.withColumns({c: F.col(c).cast("double") for c in s.columns if c.startswith(("sum_", "mean_", "median_"))})
+
+
+@query
+def fuzzy_ratio(spark, d):
+    return _candidates(spark, d).select("sample_id", "ord", r6(text.fuzzy_ratio("claim", "sentence")).alias("ratio"))
+
+
+@query
+def beam_find_best(spark, d):
+    return beam.find_best(documents(spark, d))
+
+
+@query
+def multi_level_beam(spark, d):
+    return beam.multi_level(documents(spark, d))
+
+
+@query
+def multi_hop_run(spark, d):
+    return hops.run(documents(spark, d))
