@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.lexicon import FilterConfig
 
-_ALL = Window.partitionBy("sample_id")
+
+def _all():
+    return Window.partitionBy("sample_id")
 
 
 def _ranked(name: str, *order):
@@ -33,7 +35,7 @@ class FilterCascade:
     def stage2(self, df: DataFrame) -> DataFrame:
         """Rows of enough relevance; where a sample has none, its best half, five at least."""
         good = F.col("relevance_score") >= self.config.min_relevance
-        df = df.select("*", F.count("*").over(_ALL).alias("n"), F.count_if(good).over(_ALL).alias("k"), _ranked("r", F.desc("relevance_score"), "ord"))
+        df = df.select("*", F.count("*").over(_all()).alias("n"), F.count_if(good).over(_all()).alias("k"), _ranked("r", F.desc("relevance_score"), "ord"))
         kept = df.where(good | ((F.col("k") == 0) & (F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(5)))))
         return kept.withColumn("ord", F.when(F.col("k") == 0, F.col("r").cast("long")).otherwise(F.col("ord"))).drop("n", "k", "r")
 
@@ -41,7 +43,7 @@ class FilterCascade:
         """Rows with entities or near the claim; too few: the best half of the input by entity score; none: the input."""
         c = self.config
         good = (F.col("relevance_score") >= c.bypass) | (F.col("entity_score") >= c.min_entity)
-        df = df.select("*", F.count("*").over(_ALL).alias("n"), F.count_if(good).over(_ALL).alias("k"), _ranked("r", F.desc("entity_score"), "ord"))
+        df = df.select("*", F.count("*").over(_all()).alias("n"), F.count_if(good).over(_all()).alias("k"), _ranked("r", F.desc("entity_score"), "ord"))
         few = (F.col("k") > 0) & (F.col("k") < c.min_entity_keep)
         kept = df.where((F.col("k") == 0) | F.when(few, F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(c.min_entity_keep))).otherwise(good))
         return kept.withColumn("ord", F.when(few, F.col("r").cast("long")).otherwise(F.col("ord"))).drop("n", "k", "r")
@@ -51,7 +53,7 @@ class FilterCascade:
         c, score = self.config, F.col("contradiction_score")
         stance = F.when(score <= c.support, "support").when(score >= c.refute, "refute")
         df = df.withColumn("stance", stance).withColumn("stance_score", F.when(score <= c.support, 1 - score).when(score >= c.refute, score))
-        return df.withColumn("k", F.count("stance").over(_ALL)).where(F.col("stance").isNotNull() | (F.col("k") == 0)).drop("k")
+        return df.withColumn("k", F.count("stance").over(_all())).where(F.col("stance").isNotNull() | (F.col("k") == 0)).drop("k")
 
     def stage5(self, df: DataFrame) -> DataFrame:
         """The first of equal texts, by confidence; the best of each sample."""
