@@ -94,14 +94,14 @@ def spans(df: DataFrame, **columns: str) -> DataFrame:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """df with live-looking credentials masked; copied examples stay."""
     found = materialize(candidates(df, id_col, text_col, **columns))
-    live = classified(found).where("live").groupBy(F.col("doc_id").alias("live_id")).agg(F.collect_set("digest").alias("live_digests"))
-    joined = df.join(live, df[id_col].eqNullSafe(F.col("live_id")), "left")
+    live = classified(found).where("live").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__digests"))
+    joined = df.join(live, df[id_col].eqNullSafe(F.col("__id")), "left")
     text = F.col(text_col)
     for _, pattern, group, _ in (KINDS[1], KINDS[2], KINDS[0]):
         pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        masked = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda x: F.when(F.array_contains("live_digests", F.sha2(x["v"], 256)), F.concat(F.substring(x["w"], F.lit(1), F.length(x["w"]) - F.length(x["v"])), F.lit(MASK))).otherwise(x["w"]))
-        text = F.when(F.col("live_digests").isNotNull(), F.array_join(F.zip_with(pieces, F.concat(masked, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")).otherwise(text)
+        masked = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda x: F.when(F.array_contains("__digests", F.sha2(x["v"], 256)), F.concat(F.substring(x["w"], F.lit(1), F.length(x["w"]) - F.length(x["v"])), F.lit(MASK))).otherwise(x["w"]))
+        text = F.when(F.col("__digests").isNotNull(), F.array_join(F.zip_with(pieces, F.concat(masked, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")).otherwise(text)
     kept = [f.name for f in df.schema]
     return joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in kept))
 

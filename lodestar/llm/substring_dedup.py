@@ -239,26 +239,25 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with `key`, distinct and in the order of id and then text hash; the id itself where ids are distinct. `key` must not
-    be a column of df."""
+    """df with `__key`, distinct and in the order of id and then text hash; the id itself where ids are distinct."""
     ids = F.col(id_col).cast("long")
     n, distinct, some, least, most = df.agg(F.count("*"), F.count_distinct(ids), F.count(ids), F.min(ids), F.max(ids)).first()
     if n == distinct == some:
-        return df.withColumn("key", ids)
+        return df.withColumn("__key", ids)
     from pyspark.sql import Window
 
     w = Window.partitionBy(ids).orderBy(F.xxhash64(text_col))
-    ranked = materialize(df.withColumn("nth", F.row_number().over(w)))
-    counts = ranked.groupBy(F.coalesce(ids, F.lit((1 << 63) - 1)).alias("id")).agg(F.count("*").alias("n"))
-    ranges = counts.repartitionByRange(partitions(df.sparkSession), "id").withColumn("part", F.spark_partition_id())
+    ranked = materialize(df.withColumn("__nth", F.row_number().over(w)))
+    counts = ranked.groupBy(F.coalesce(ids, F.lit((1 << 63) - 1)).alias("__id")).agg(F.count("*").alias("n"))
+    ranges = counts.repartitionByRange(partitions(df.sparkSession), "__id").withColumn("__part", F.spark_partition_id())
     ranges = materialize(ranges)
     sums, before = {}, 0
-    for p, s in sorted(tuple(r) for r in ranges.groupBy("part").agg(F.sum("n")).collect()):  # one row a partition
+    for p, s in sorted(tuple(r) for r in ranges.groupBy("__part").agg(F.sum("n")).collect()):  # one row a partition
         sums[p], before = before, before + s
-    w = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    bases = df.sparkSession.createDataFrame(list(sums.items()) or [(0, 0)], "part int, base long")
-    places = ranges.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(bases), "part").select("id", (F.col("at") + F.col("base")).alias("at"))
-    return ranked.join(places, F.coalesce(ids, F.lit((1 << 63) - 1)) == places["id"]).withColumn("key", F.col("at") + F.col("nth")).drop("id", "at", "nth")
+    w = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    bases = df.sparkSession.createDataFrame(list(sums.items()) or [(0, 0)], "__part int, base long")
+    places = ranges.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(bases), "__part").select("__id", (F.col("at") + F.col("base")).alias("__at"))
+    return ranked.join(places, F.coalesce(ids, F.lit((1 << 63) - 1)) == places["__id"]).withColumn("__key", F.col("__at") + F.col("__nth")).drop("__id", "__at", "__nth")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, digest: bool = False) -> DataFrame:
@@ -266,9 +265,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the texts."""
     assert span + GRAM <= length and span <= 128
     whole = keyed(df, id_col, text_col)
-    found = repeated_intervals(whole.select("key", F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, span)
-    joined = whole.join(found, "key", "left")
-    carried = [f for f in whole.drop("key").schema if not (digest and f.name == text_col)]
+    found = repeated_intervals(whole.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, span)
+    found = found.select(F.col("key").alias("__key"), F.col("found").alias("__found"))
+    joined = whole.join(found, "__key", "left")
+    carried = [f for f in whole.drop("__key").schema if not (digest and f.name == text_col)]
     last = "kept_sha256 string" if digest else "kept_bytes binary"
     schema = T.StructType([*carried, *T.StructType.fromDDL(f"n_bytes bigint, runs array<bigint>, {last}").fields])
     names = [f.name for f in schema]
@@ -277,7 +277,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = buffers(batch[text_col])
             raw, made = data.tobytes(), []
-            for a, b, f in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch["found"].to_pylist(), strict=True):
+            for a, b, f in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch["__found"].to_pylist(), strict=True):
                 gone = covered(np.frombuffer(f, INTERVAL), length) if f else []
                 edges = [0, *(x for run in gone for x in run), b - a]
                 kept = b"".join(raw[a + s : a + e] for s, e in zip(edges[::2], edges[1::2], strict=True))
