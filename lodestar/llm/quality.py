@@ -105,20 +105,31 @@ def fit(index: np.ndarray, offsets: np.ndarray, grades: np.ndarray, top: int, bi
 
 
 def train(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """Fit on `sample` of the rated documents: ratings(id, grade 0..top). Only their feature numbers come to the driver."""
+    """Fit on `sample` of the rated documents: ratings(id, grade 0..top). One task fits; only the weights come to the driver."""
     rated = ratings.where(F.col("grade").between(0, top)).select(F.col(id_col).alias("rated_id"), F.col("grade").cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
 
     def numbers(batches):
         for batch in batches:
             index, offsets = features(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["grade"], pa.array([index[a:b].astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.list_(pa.int32()))], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch["grade"], pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["grade", "features"])
 
-    # the sample's size is bounded by the parameter
+    def fitting(batches):
+        held, sizes, rated = [], [0], []
+        for batch in batches:
+            data, offsets = buffers(batch["features"])
+            held.append(data.view("<i4").astype(np.int32))
+            sizes += (np.diff(offsets) // 4).tolist()
+            rated += batch["grade"].to_pylist()
+        model = fit(np.concatenate(held) if held else np.zeros(0, np.int32), np.cumsum(sizes), np.array(rated, np.int64), top)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+    # the sample's size is bounded by the parameter, and so are what is broadcast here and the one task that fits
     own = docs.join(F.broadcast(chosen), docs[id_col] == F.col("rated_id")).select("grade", F.col(text_col).cast("string").alias("text"))
-    got = own.mapInArrow(numbers, "grade int, features array<int>").toPandas()
-    lists = [np.asarray(x, np.int64) for x in got["features"]]
-    return fit(np.concatenate(lists) if lists else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), got["grade"].to_numpy(np.int64), top)
+    got = own.mapInArrow(numbers, "grade int, features binary").repartition(1).mapInArrow(fitting, "weights binary, thresholds array<double>").first()
+    if got is None:
+        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), top)
+    return Ordinal(np.frombuffer(got["weights"], "<f4"), np.array(got["thresholds"]))
 
 
 def score(df: DataFrame, model: Ordinal, text_col: str = "text", keep_text: bool = True) -> DataFrame:
