@@ -129,7 +129,7 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE, i
     got = own.mapInArrow(numbers, "grade int, features binary").repartition(1).mapInArrow(fitting, "weights binary, thresholds array<double>").first()
     if got is None:
         return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), top)
-    return Ordinal(np.frombuffer(got["weights"], "<f4"), np.array(got["thresholds"]))
+    return Ordinal(np.frombuffer(got["weights"], "<f4").astype(np.float64), np.array(got["thresholds"]))
 
 
 def score(df: DataFrame, model: Ordinal, text_col: str = "text", keep_text: bool = True) -> DataFrame:
