@@ -132,7 +132,7 @@ class Ranges:
 _COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
 
-def _zstd() -> pa.Codec:
+def zstd() -> pa.Codec:
     return pa.Codec("zstd")
 
 
@@ -154,7 +154,7 @@ def counters(batches, hashes_of, width: int, slices: int):
     if size:
         settle()
     part = total.reshape(slices, -1)
-    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [_zstd().compress(x.tobytes(), asbytes=True) for x in part]}, schema=_COUNTS)
+    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [zstd().compress(x.tobytes(), asbytes=True) for x in part]}, schema=_COUNTS)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _summed(width: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                x = np.frombuffer(_zstd().decompress(x, 2 * width), np.uint16).astype(np.uint32)
+                x = np.frombuffer(zstd().decompress(x, 2 * width), np.uint16).astype(np.uint32)
                 sums[k] = sums[k] + x if k in sums else x
         if sums:
             yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [scaled(x).tobytes() for x in sums.values()]}, schema=_COUNTS)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOBS, gathered, materialize, mix, packed, partitions, runs, sketch, table
+from .common import BLOBS, gathered, materialize, mix, packed, partitions, runs, sketch, table, zstd
 from .graph import components
 from .shingles import shingle_sets
 
@@ -37,6 +37,9 @@ POSTING = np.dtype([("token", "<u8"), ("lo", "<u4"), ("hi", "<u4"), ("group", "<
 LOOSE = 0xFFFFFFFF
 #: Postings of a bucket, postings after which a map task passes on what it has, members of a block.
 BUCKET_POSTINGS, FLUSH, BLOCK = 200_000, 400_000, 2048
+#: Bytes of each field that a bucket gets. Tokens and groups are hashes; where cut ones meet, ties are added, never lost, and
+#: verifying drops them. A bucket is chosen by the whole token and its postings are bounded, so cut tokens hardly ever meet.
+PLANES = (("token", 5), ("group", 7), ("lo", 4), ("hi", 4), ("place", 4))
 EDGES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -79,6 +82,31 @@ def tie(r: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0), kept
 
 
+def planes_of(r: np.ndarray) -> bytes:
+    """Postings of a bucket by cut token, as compressed byte planes: tokens as differences, `hi` as what it exceeds `lo` by."""
+    r = r.copy()
+    r["token"] &= np.uint64((1 << 40) - 1)
+    r.sort(order="token")
+    r["token"] = np.diff(r["token"], prepend=np.uint64(0))
+    r["hi"] -= r["lo"]
+    planes = [r[f].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T for f, width in PLANES]
+    return len(r).to_bytes(8, "little") + zstd().compress(np.concatenate(planes).tobytes(), asbytes=True)
+
+
+def from_planes(blob: bytes, offset: int = 0) -> np.ndarray:
+    n, total = int.from_bytes(blob[offset : offset + 8], "little"), sum(width for _, width in PLANES)
+    planes = np.frombuffer(zstd().decompress(blob[offset + 8 :], n * total), np.uint8).reshape(total, n)
+    r, at = np.empty(n, POSTING), 0
+    for f, width in PLANES:
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = planes[at : at + width].T
+        r[f] = whole.view("<u8")[:, 0]
+        at += width
+    r["token"] = np.cumsum(r["token"])
+    r["hi"] += r["lo"]
+    return r
+
+
 def _postings(batches, counts, percent: int, buckets: int):
     """Packed rows: edges (first byte 0) and postings (first byte 1)."""
     width, held, ties, size = np.uint64(len(counts) - 1), [], [], 0
@@ -88,8 +116,8 @@ def _postings(batches, counts, percent: int, buckets: int):
             more, kept = tie(np.concatenate(held), percent)
             docs = np.unique(np.array(ties, np.int64), axis=0)
             edges = np.concatenate([np.concatenate([np.zeros((len(docs), 1), np.int64), docs], 1), np.concatenate([np.ones((len(more), 1), np.int64), more], 1)])
-            for flag, records, key in ((b"\0", np.ascontiguousarray(edges), edges[:, 2].astype(np.uint64)), (b"\1", kept, kept["token"])):
-                for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS):
+            for flag, records, key, written in ((b"\0", np.ascontiguousarray(edges), edges[:, 2].astype(np.uint64), np.ndarray.tobytes), (b"\1", kept, kept["token"], planes_of)):
+                for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS, written):
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flag + x for x in b.column(1).to_pylist()], pa.binary())], schema=BLOBS)
 
     for batch in batches:
@@ -102,7 +130,7 @@ def _postings(batches, counts, percent: int, buckets: int):
             p = prefix_length(b - a, percent)
             k = keys[a:b]
             k = np.sort(np.partition(k, p - 1)[:p]) if p < len(k) else np.sort(k)
-            g = int(mix(np.array([mix(k, 4).sum() + np.uint64(b - a)]), 21)[0] >> np.uint64(1))
+            g = int(mix(np.array([mix(k, 4).sum() + np.uint64(b - a)]), 21)[0] >> np.uint64(8))
             ties.append((s, g))
             r = np.empty(len(k), POSTING)
             r["token"], r["group"], r["lo"], r["hi"], r["place"] = k, g, b - a, b - a, np.arange(len(k))
@@ -169,7 +197,7 @@ def ngram_components(df: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 
     def meeting(_, blobs):
         edges = [np.frombuffer(b, "<i8", offset=1).reshape(-1, 3) for b in blobs if b[0] == 0]
-        postings = [np.frombuffer(b, POSTING, offset=1) for b in blobs if b[0] == 1]
+        postings = [from_planes(b, 1) for b in blobs if b[0] == 1]
         if postings:
             ties, _ = tie(np.concatenate(postings), percent)
             edges.append(np.concatenate([np.ones((len(ties), 1), np.int64), ties], 1))

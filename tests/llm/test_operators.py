@@ -124,6 +124,17 @@ def brute_classes(texts):
     return {i: (len(sets[i]), head[i]) for i in texts}
 
 
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_postings_survive_their_planes(n):
+    g = np.random.default_rng(n)
+    r = np.zeros(n, ngram_join.POSTING)
+    r["token"], r["group"] = g.integers(0, 1 << 63, n), g.integers(0, 1 << 56, n)
+    r["lo"], r["place"] = g.integers(1, 1 << 31, n), g.choice([0, 7, ngram_join.LOOSE], n)
+    r["hi"] = r["lo"] + g.integers(0, 1 << 30, n).astype(np.uint32)
+    r["token"] &= np.uint64((1 << 40) - 1)
+    assert (ngram_join.from_planes(b"x" + ngram_join.planes_of(r), 1) == np.sort(r, order="token")).all()
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_join(docs, empty, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
