@@ -33,6 +33,7 @@ class FilterConfig:
     bypass: float = 0.9
     support: float = 0.3
     refute: float = 0.7
+    delta: float = 0.1
     stop_words: tuple[str, ...] = STOP_WORDS
     contradiction: dict[str, tuple[str, ...]] = field(default_factory=lambda: CONTRADICTION)
 

@@ -17,6 +17,10 @@ def _ranked(name: str, *order):
     return F.row_number().over(Window.partitionBy("sample_id").orderBy(*order)).alias(name)
 
 
+def here_or(chain, condition, value):
+    return F.when(condition, value) if chain is None else chain.when(condition, value)
+
+
 class FilterCascade:
     """candidates(sample_id, ord, sentence, claim, entities[, score]) through quality, relevance, entities, stance, ranking."""
 
@@ -49,12 +53,47 @@ class FilterCascade:
         return kept.withColumn("ord", F.when(few, F.col("r").cast("long")).otherwise(F.col("ord"))).drop("n", "k", "r")
 
     def stage4(self, df: DataFrame) -> DataFrame:
-        """Stance by contradiction score; a sample without any stance keeps its rows."""
+        """Stance by contradiction score; a sample without any stance keeps its rows. With columns nli_label or diff, the tiers
+        of `stance_tiers` come first, and the score serves only samples that no tier decides."""
+        if {"nli_label", "diff"} & set(df.columns):
+            return self.stance_tiers(df)
         c, score = self.config, F.col("contradiction_score")
         stance = F.when(score <= c.support, "support").when(score >= c.refute, "refute")
         df = df.withColumn("stance", stance).withColumn("stance_score", F.when(score <= c.support, 1 - score).when(score >= c.refute, score))
         return df.withColumn("k", F.count("stance").over(_all())).where(F.col("stance").isNotNull() | (F.col("k") == 0)).drop("k")
 
+    def stance_tiers(self, df: DataFrame) -> DataFrame:
+        """Stance by the first tier that decides any row of a sample: labels of an inference model (entail, contradict); `diff`,
+        cosine to the claim less cosine to its negation, beyond delta, then beyond half of delta; the least diff as refuting and
+        the greatest as supporting; the contradiction score, for samples without labels and diffs. Other rows go."""
+        c = self.config
+        for name, kind in (("nli_label", "string"), ("diff", "double"), ("contradiction_score", "double")):
+            if name not in df.columns:
+                df = df.withColumn(name, F.lit(None).cast(kind))
+        label, diff, score = F.lower("nli_label"), F.col("diff"), F.col("contradiction_score")
+        # nulls sort after all diffs in `low` and before them in `high`
+        df = df.select("*", _ranked("low", F.asc_nulls_last("diff"), "ord"), _ranked("high", F.desc_nulls_last("diff"), F.desc("ord")))
+        beyond = lambda d: F.when(diff > d, "support").when(diff < -d, "refute")
+        tiers = [
+            F.when(F.startswith(label, F.lit("entail")), "support").when(F.startswith(label, F.lit("contradict")), "refute"),
+            beyond(c.delta),
+            beyond(c.delta / 2),
+            F.when(diff.isNotNull() & (F.col("low") == 1), "refute").when(diff.isNotNull() & (F.col("high") == 1), "support"),
+            F.when(score <= c.support, "support").when(score >= c.refute, "refute"),
+        ]
+        df = df.withColumns({f"t{k}": t for k, t in enumerate(tiers)})
+        df = df.withColumns({f"n{k}": F.count(f"t{k}").over(_all()) for k in range(len(tiers))})
+        strength = [F.lit(1.0), F.abs("diff"), F.abs("diff"), F.abs("diff"), F.when(score <= c.support, 1 - score).otherwise(score)]
+        stance = worth = tier = None
+        for k in range(len(tiers)):
+            here = F.col(f"n{k}") > 0
+            stance = here_or(stance, here, F.col(f"t{k}"))
+            worth = here_or(worth, here, strength[k])
+            tier = here_or(tier, here, F.lit(k + 1))
+        df = df.withColumns({"stance": stance, "stance_score": worth, "stance_tier": tier})
+        kept = df.where(F.col("stance").isNotNull() | F.col("stance_tier").isNull())
+        return kept.drop("low", "high", *(f"{x}{k}" for k in range(len(tiers)) for x in "tn"))
+
     def stage5(self, df: DataFrame) -> DataFrame:
         """The first of equal texts, by confidence; the best of each sample."""
         first = df.select("*", F.row_number().over(Window.partitionBy("sample_id", "sentence").orderBy("ord")).alias("r")).where("r = 1").drop("r")

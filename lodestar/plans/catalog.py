@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions.lexicon import CONTRADICTION, FilterConfig
-from ..operators import beam, graph, hops, report, similarity
+from ..operators import beam, entities, graph, hops, report, similarity
 from ..operators.cascade import FilterCascade
 from ..operators.samples import candidates, documents, segments
 from ..session import ship
@@ -251,3 +251,39 @@ def multi_level_beam(spark, d):
 @query
 def multi_hop_run(spark, d):
     return hops.run(documents(spark, d))
+
+
+def _claim_entities(spark, d):
+    return graph.phrases(_tokens(spark, d)).where("first_ord = 0").select("sample_id", F.col("phrase").alias("entity"))
+
+
+@query
+def entity_edges(spark, d):
+    return entities.entity_edges(_claim_entities(spark, d), _segments(spark, d))
+
+
+@query
+def entity_word_nodes(spark, d):
+    return entities.entity_words(_claim_entities(spark, d), graph.word_nodes(_tokens(spark, d)))
+
+
+@query
+def stance_tiers(spark, d):
+    return FilterCascade().stance_tiers(similarity.stance_differences(_vectors(spark, d))).select("sample_id", "ord", "stance", r6("stance_score").alias("stance_score"), "stance_tier")
+
+
+@query
+def hybrid_merge(spark, d):
+    rows = FilterCascade().scored(_candidates(spark, d))
+    direct = rows.where(F.col("relevance_score") >= FilterConfig().min_relevance).select("sample_id", "ord", "sentence", F.col("relevance_score").alias("score"))
+    return hops.hybrid(direct, rows.where(F.col("quality_score") >= 0.8).select("sample_id", "ord", "sentence", F.col("quality_score").alias("score")))
+
+
+@query
+def hop_statistics(spark, d):
+    return hops.hop_statistics(hops.run(documents(spark, d)))
+
+
+@query
+def path_quality(spark, d):
+    return beam.path_quality(beam.find_best(documents(spark, d)))

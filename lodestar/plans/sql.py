@@ -116,3 +116,28 @@ SQL = {
     + ", ".join(f"round({'sum(' + c + ')' if f == 'sum' else f + '(' + c + ')'}, {2 if f == 'sum' else 5})::DOUBLE AS {f if f != 'avg' else 'mean'}_{c}" if f in ("sum", "avg", "median") else f"{f}({c}) AS {f}_{c}" for c in ("context", "retrieved", "coverage") for f in ("sum", "avg", "median", "min", "max"))
     + " FROM cov",
 }
+
+_NORM = lambda c: rf"trim(strip_accents(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+ENTITIES = f"ent AS (SELECT sample_id, phrase AS entity, {_NORM('phrase')} AS en FROM ({SQL['phrase_islands']}) WHERE first_ord = 0)"
+SQL |= {
+    "entity_edges": f"""WITH {SEGMENTS}, {ENTITIES}, x AS (SELECT *, {_NORM('sentence')} AS sn FROM ent JOIN segs USING (sample_id))
+SELECT sample_id, entity, ord, CASE WHEN ord = 0 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM x WHERE CASE WHEN ord = 0
+  THEN contains(lower(sentence), lower(entity)) OR len(list_filter(string_split(lower(entity), ' '), lambda w: w <> '' AND contains(lower(sentence), w))) > 0
+  ELSE contains(sn, en) OR contains(replace(lower(sentence), '_', ' '), replace(lower(entity), '_', ' '))
+    OR (contains(en, ' ') AND len(list_filter(string_split(en, ' '), lambda w: length(w) > 2 AND NOT contains(sn, w))) = 0) END""",
+    "entity_word_nodes": f"""WITH {TOKENS}, {ENTITIES}, n AS (SELECT sample_id, word, {_NORM('word')} AS wn, min(ord * 1000000 + idx) AS place FROM tokens GROUP BY ALL)
+SELECT e.sample_id, entity, arg_min(word, place) AS word FROM ent e LEFT JOIN n ON e.sample_id = n.sample_id AND wn <> '' AND (contains(en, wn) OR contains(wn, en)) GROUP BY 1, 2""",
+    "stance_tiers": f"""WITH {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY vec_id) AS i FROM v),
+d AS (SELECT x.sample_id, x.vec_id AS ord, round(list_cosine_similarity(x.v, a.v) - list_cosine_similarity(x.v, b.v), 6) AS diff
+  FROM o x JOIN o a ON x.sample_id = a.sample_id AND a.i = 1 JOIN o b ON x.sample_id = b.sample_id AND b.i = 2 WHERE x.i > 2),
+r AS (SELECT *, max(abs(diff)) OVER q AS most, row_number() OVER (PARTITION BY sample_id ORDER BY diff, ord) AS lo, row_number() OVER (PARTITION BY sample_id ORDER BY diff DESC, ord DESC) AS hi FROM d WINDOW q AS (PARTITION BY sample_id)),
+t AS (SELECT *, CASE WHEN most > {C.delta} THEN 2 WHEN most > {C.delta / 2} THEN 3 ELSE 4 END AS tier FROM r)
+SELECT sample_id, ord, CASE WHEN tier = 4 THEN CASE WHEN lo = 1 THEN 'refute' ELSE 'support' END WHEN diff > 0 THEN 'support' ELSE 'refute' END AS stance, abs(diff) AS stance_score, tier::INT AS stance_tier
+FROM t WHERE CASE tier WHEN 2 THEN abs(diff) > {C.delta} WHEN 3 THEN abs(diff) > {C.delta / 2} ELSE lo = 1 OR hi = 1 END""",
+    "hybrid_merge": f"""WITH {SCORES}, n AS (SELECT *, trim(replace(lower(sentence), '_', ' ')) AS norm FROM scored),
+d AS (SELECT sample_id, norm, arg_min(sentence, ord) AS sentence, arg_min(relevance_score, ord) AS score FROM n WHERE relevance_score >= {C.min_relevance} GROUP BY 1, 2),
+b AS (SELECT sample_id, norm, arg_min(sentence, ord) AS sentence, arg_min(quality_score, ord) AS score FROM n WHERE quality_score >= 0.8 GROUP BY 1, 2)
+SELECT sample_id, coalesce(d.sentence, b.sentence) AS sentence, round(CASE WHEN d.norm IS NULL THEN b.score WHEN b.norm IS NOT NULL AND d.score < 0.9 THEN least(d.score + 0.1::DOUBLE, 0.95) ELSE d.score END, 6) AS score,
+  CASE WHEN d.norm IS NULL THEN 'beam_search_unique' WHEN b.norm IS NULL THEN 'direct' ELSE 'hybrid_both_methods' END AS source
+FROM d FULL JOIN b USING (sample_id, norm)""",
+}

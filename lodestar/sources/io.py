@@ -48,3 +48,27 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+_NODE, _EDGE = "struct<_id:string,_label:string,_type:string>", "struct<_id:string,_source:string,_target:string,_label:string,_weight:double>"
+_GEXF = f"_version string, graph struct<_defaultedgetype:string,nodes:struct<node:array<{_NODE}>>,edges:struct<edge:array<{_EDGE}>>>"
+
+
+def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sample_id, gexf): each sample's graph as one XML document, from nodes(sample_id, id, label, type) and
+    edges(sample_id, source, target, type, weight). A null becomes an empty text, a null weight 1."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    n = nodes.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(text("id").alias("_id"), text("label").alias("_label"), text("type").alias("_type")))).alias("node"))
+    link = F.struct(F.concat_ws("-", text("source"), text("target")).alias("_id"), text("source").alias("_source"), text("target").alias("_target"), text("type").alias("_label"), F.coalesce("weight", F.lit(1.0)).alias("_weight"))
+    e = edges.groupBy("sample_id").agg(F.sort_array(F.collect_list(link)).alias("edge"))
+    both = n.join(e, "sample_id", "left").withColumn("edge", F.coalesce("edge", F.array().cast(f"array<{_EDGE}>")))
+    graph = F.struct(F.lit("undirected").alias("_defaultedgetype"), F.struct("node").alias("nodes"), F.struct("edge").alias("edges"))
+    return both.select("sample_id", F.to_xml(F.struct(F.lit("1.2").alias("_version"), graph.alias("graph")), {"rowTag": "gexf", "attributePrefix": "_"}).alias("gexf"))
+
+
+def parse_graph_documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graph_documents' rows."""
+    g = df.select("sample_id", F.from_xml("gexf", _GEXF, {"rowTag": "gexf", "attributePrefix": "_"}).alias("g"))
+    nodes = g.select("sample_id", F.explode("g.graph.nodes.node").alias("x")).select("sample_id", F.col("x._id").alias("id"), F.col("x._label").alias("label"), F.col("x._type").alias("type"))
+    edges = g.select("sample_id", F.explode("g.graph.edges.edge").alias("x")).select("sample_id", F.col("x._source").alias("source"), F.col("x._target").alias("target"), F.col("x._label").alias("type"), F.col("x._weight").alias("weight"))
+    return nodes, edges
