@@ -287,3 +287,8 @@ def hop_statistics(spark, d):
 @query
 def path_quality(spark, d):
     return beam.path_quality(beam.find_best(documents(spark, d)))
+
+
+@query
+def direct_connection_search(spark, d):
+    return beam.direct_connections(documents(spark, d))
