@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shared_dir, table, tune
+from lodestar.llm.common import materialize, shared_dir, table, tune
 from lodestar.llm.ngram_join import ngram_components
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import KEEP, rated_model, score
@@ -27,10 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the n-gram join the document with the smallest id stays."""
+    """Of each class of the n-gram join the row with the smallest id stays, null ids last. Rows have keys of their own here, as
+    ids may be null or repeat; texts without words are classes of their own."""
     tune(spark)
-    dropped = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    classes = ngram_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = keyed.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

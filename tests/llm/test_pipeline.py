@@ -1,0 +1,55 @@
+"""The stages of the corpus pipeline on rows with null and repeated ids."""
+
+import random
+from collections import Counter
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{random.Random(k).randrange(10**6)}x{k}" for k in range(2000)]
+
+
+def prose(start, n=100):
+    return " ".join(WORDS[start : start + n])
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+
+
+def kept(df):
+    return Counter((x.doc_id, x.text) for x in df.collect())
+
+
+def test_near_duplicates_by_row(spark):
+    rows = [(None, prose(0)), (None, prose(200)), (None, prose(400)), (7, prose(600)), (7, prose(800)), (3, prose(800)), (5, prose(1000)), (None, prose(1004)), (9, prose(1008)), (11, ""), (11, None), (None, ""), (12, prose(1200)), (12, prose(1200))]
+    gone = [(7, prose(800)), (None, prose(1004)), (9, prose(1008)), (12, prose(1200))]
+    assert kept(corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")) == Counter(rows) - Counter(gone)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, *range(20)]), prose(r.choice([0, 5, 10, 300, 305, 600, 900]), r.choice([100, 104]))) for _ in range(60)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    head = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                head = [head[b] if h == head[a] else h for h in head]
+    least = sorted(min((i is None, i or 0) for (i, _), h in zip(rows, head, strict=True) if h == c) for c in set(head))
+    got = kept(corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text"))
+    assert sorted((i is None, i or 0) for i, _ in got.elements()) == least
+    assert {head[rows.index(x)] for x in got} == set(head) and not got - Counter(rows)
+
+
+def test_later_stages_keep_rows(spark):
+    rows = [(None, prose(0)), (None, prose(200)), (7, prose(400)), (7, "password=zyxwvu987654 " + prose(600)), (8, None), (None, "")]
+    df = frame(spark, rows)
+    got = kept(corpus_pipeline.repeated_passages(spark, df, ""))
+    assert Counter((i, t or "") for i, t in got.elements()) == Counter((i, t or "") for i, t in rows)
+    assert kept(corpus_pipeline.secrets(spark, df, "")) == Counter((i, t and t.replace("zyxwvu987654", "[SECRET]")) for i, t in rows)
+    assert {x.doc_id for x in corpus_pipeline.packing(spark, df, "").collect()} == {None, 7, 8}
