@@ -227,12 +227,13 @@ def ngram_components(df: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 
     sets = docs.mapInArrow(expanding, "doc long, own long, blob binary")
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("sign"), blocks)).join(sets, F.expr("sign = own and rep <=> doc")).select("component", "rep", "block", "blob", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select(F.concat_ws("/", "component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("crossed"), "blob")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("sign"), blocks)).join(sets, F.expr("sign = own and rep <=> doc")).select("component", "sign", "rep", "block", "blob", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select(F.concat_ws("/", "component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "sign", "rep", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("crossed"), "blob")
 
     def verifying(batches):
         for group in runs(batches, "task"):
-            found = {r["rep"]: (r["rep"], r["side"], np.frombuffer(r["blob"], np.uint64)) for r in group if r["rep"] is not None}
+            # by set: different sets of a repeated id have one rep
+            found = {r["sign"]: (r["rep"], r["side"], np.frombuffer(r["blob"], np.uint64)) for r in group if r["rep"] is not None}
             links = verified(list(found.values()), percent, group[0]["crossed"]) if len(found) > 1 else []
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])

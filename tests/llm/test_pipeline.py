@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from lodestar.llm import ngram_join  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{random.Random(k).randrange(10**6)}x{k}" for k in range(2000)]
@@ -53,3 +54,10 @@ def test_later_stages_keep_rows(spark):
     assert Counter((i, t or "") for i, t in got.elements()) == Counter((i, t or "") for i, t in rows)
     assert kept(corpus_pipeline.secrets(spark, df, "")) == Counter((i, t and t.replace("zyxwvu987654", "[SECRET]")) for i, t in rows)
     assert {x.doc_id for x in corpus_pipeline.packing(spark, df, "").collect()} == {None, 7, 8}
+
+
+def test_join_with_two_texts_of_an_id(spark):
+    """A chain of four texts, each like the next alone; the middle two have one id."""
+    rows = [(i, prose(start)) for i, start in ((2, 0), (1, 8), (1, 16), (3, 24))]
+    got = [(x.doc_id, x.component_id) for x in ngram_join.ngram_components(frame(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
