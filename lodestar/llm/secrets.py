@@ -91,17 +91,33 @@ def spans(df: DataFrame, **columns: str) -> DataFrame:
     return made.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"), "n_live", "n_copied")
 
 
+def masked(text: Column, found: Column, digests: Column) -> Column:
+    """text with each value of `found` whose digest is among `digests` masked; values that overlap have one mask."""
+    spans_type = "array<struct<start:bigint,end:bigint>>"
+
+    def placed(acc, m):
+        end = F.when(m["nth"] == 0, F.lit(0).cast("long")).otherwise(acc["at"]) + m["before"] + m["size"]
+        span = F.struct((end - F.length(m["value"])).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(digests, F.sha2(m["value"], 256)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def written(acc, s):
+        apart = s["start"] >= acc["at"]
+        more = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK))
+        return F.struct(F.when(apart, more).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans_type).alias("spans"))
+    spans = F.array_sort(F.aggregate(found, none, placed, lambda acc: acc["spans"]))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(spans, start, written, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """df with live-looking credentials masked; copied examples stay."""
+    """df with live-looking credentials masked; copied examples stay. All values are found in the text as it was."""
     found = materialize(candidates(df, id_col, text_col, **columns))
     live = classified(found).where("live").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("__digests"))
     joined = df.join(live, df[id_col].eqNullSafe(F.col("__id")), "left")
     text = F.col(text_col)
-    for _, pattern, group, _ in (KINDS[1], KINDS[2], KINDS[0]):
-        pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        masked = F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda x: F.when(F.array_contains("__digests", F.sha2(x["v"], 256)), F.concat(F.substring(x["w"], F.lit(1), F.length(x["w"]) - F.length(x["v"])), F.lit(MASK))).otherwise(x["w"]))
-        text = F.when(F.col("__digests").isNotNull(), F.array_join(F.zip_with(pieces, F.concat(masked, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")).otherwise(text)
+    text = F.when(F.col("__digests").isNotNull() & text.isNotNull(), masked(text, found_in(text), F.col("__digests"))).otherwise(text)
     kept = [f.name for f in df.schema]
     return joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in kept))
 
