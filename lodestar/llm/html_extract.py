@@ -6,7 +6,7 @@ not) have a weight per feature and one per pair of neighbours; it is trained her
 labelled pages, which a generator makes from layouts of known content, and decoded by Viterbi.
 
 Rows: null, empty and text-less pages have an empty text; unclosed and stray tags, comments and quotes are read as browsers
-roughly do; repeated and null ids keep one row each; other columns are ignored.
+roughly do (a hidden element left open ends with the block around it); repeated and null ids keep one row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +29,26 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes an open element of its group within the nearest list or table.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a head may hold; any other start tag ends it, and so does text.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes script style template".split())
 SCOPE = frozenset("ul ol dl table div article section body main aside nav td".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
+_HEAD_ENDS = re.compile(r"</head\b|<body\b", re.I)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+def raw_end(tag: str, page: str, pos: int) -> re.Match | None:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
+
+
 def blocks(page: str) -> list[tuple[str, list[str], int]]:
     """(text, features of its ancestors, characters in links) of the leaf blocks, in page order."""
     out: list[tuple[str, list[str], int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked, link, at, hidden, pos = 0, False, 0, None, 0
+    hidden: list[str] = []  # the open hidden element, and elements open in it
+    linked, link, at, pos = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -51,10 +59,33 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         text.clear()
         linked = 0
 
+    def in_hidden(tag: str, closing: bool, alone: bool) -> bool:
+        """Whether the tag is part of the hidden element; if not, that has ended."""
+        nonlocal at, pos
+        if hidden[0] == "head" and (tag == "body" or (hidden == ["head"] and not closing and tag not in IN_HEAD)):
+            hidden.clear()
+        elif closing and tag in hidden:  # the outermost of hidden elements, the innermost of blocks
+            del hidden[hidden.index(tag) if tag in HIDDEN else len(hidden) - 1 - hidden[::-1].index(tag) :]
+        elif closing and tag in BLOCK and any(t == tag for t, _ in stack):
+            hidden.clear()
+        elif not closing and not alone and hidden[-1] not in RAW and tag not in VOID:
+            end = raw_end(tag, page, pos) if tag in RAW else None
+            if end and hidden[0] == "head" and tag not in ("script", "style") and _HEAD_ENDS.search(page, pos, end.start()):
+                end = None  # left open: the end tag of another one
+            if end:
+                at = pos = end.end()
+            elif tag in BLOCK or tag in HIDDEN:
+                hidden.append(tag)
+        else:
+            return True
+        return bool(hidden) or (closing and tag in HIDDEN)
+
     while True:
         m = _TAG.search(page, pos)
         piece = page[at : m.start() if m else len(page)]
-        if piece and hidden is None:
+        if hidden == ["head"] and piece.strip():
+            hidden.clear()
+        if piece and not hidden:
             text.append(piece)
             linked += len(piece) if link else 0
         if not m:
@@ -63,17 +94,15 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if hidden is not None:
-            if tag == hidden and closing:
-                hidden = None
+        if hidden and in_hidden(tag, closing, m[3].endswith("/")):
             continue
         if tag in HIDDEN:
             if not closing and not m[3].endswith("/"):
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
+                    end = raw_end(tag, page, pos)
                     at = pos = end.end() if end else len(page)
                 else:
-                    hidden = tag
+                    hidden.append(tag)
             continue
         if tag == "br":
             text.append(" ")
