@@ -24,8 +24,9 @@ def here_or(chain, condition, value):
 class FilterCascade:
     """candidates(sample_id, ord, sentence, claim, entities[, score]) through quality, relevance, entities, stance, ranking."""
 
-    def __init__(self, config: FilterConfig | None = None):
-        self.config = config or FilterConfig()
+    def __init__(self, config: FilterConfig | None = None, skip_entityless: bool = False):
+        """skip_entityless: stage 3 leaves samples without entities alone, as the reference does; the queries' SQL does not."""
+        self.config, self.skip_entityless = config or FilterConfig(), skip_entityless
 
     def scored(self, df: DataFrame) -> DataFrame:
         c, df = self.config, scores.with_words(df.where("sentence <> ''"))
@@ -47,6 +48,8 @@ class FilterCascade:
         """Rows with entities or near the claim; too few: the best half of the input by entity score; none: the input."""
         c = self.config
         good = (F.col("relevance_score") >= c.bypass) | (F.col("entity_score") >= c.min_entity)
+        if self.skip_entityless:
+            good &= F.size("entities") > 0  # no row is good, so all stay
         df = df.select("*", F.count("*").over(_all()).alias("n"), F.count_if(good).over(_all()).alias("k"), _ranked("r", F.desc("entity_score"), "ord"))
         few = (F.col("k") > 0) & (F.col("k") < c.min_entity_keep)
         kept = df.where((F.col("k") == 0) | F.when(few, F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(c.min_entity_keep))).otherwise(good))
