@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -23,19 +25,53 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def _trim() -> None:
+    """Give freed memory back to the system; a reused worker would hold on to it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(step):
+    """A function of mapInArrow whose worker keeps no freed memory after its task."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. A temporary one only where it is unset and the executors
+    are threads of this process, as in tests; without a shared folder a cluster is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp()
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in frames:
+        for f in df.inputFiles()[:1]:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if folder.getName().startswith("table-"):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -43,6 +79,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first longer one, that no column of df has."""
+    names = {c.lower() for c in df.columns}
+    while name in names:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -187,6 +231,62 @@ def sketch(df: DataFrame, hashes_of, width: int, slices: int = 64) -> np.ndarray
     return out.reshape(-1)
 
 
+# ---- marks ----
+
+#: Bits of marks for each key, and the fewest and most of them; 32 MB is the most that is ever broadcast.
+BITS_A_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mix(keys.astype(np.uint64), 8) & np.uint64(bits - 1)
+
+
+def marks(df: DataFrame, keys_of, slices: int = 16) -> np.ndarray:
+    """A bitmap in which every key (64-bit number) that keys_of(batch) lists for the rows of df is marked, and few others are.
+    Its size follows the number of keys up to a bound, beyond which more and more others are marked: work that marks save is
+    then done, results stay the same."""
+
+    def counting(batches):
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(k) for batch in batches for k in keys_of(batch))], pa.int64())})
+
+    n = df.mapInArrow(lean(counting), "n long").agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+
+    def marking(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            found = keys_of(batch)
+            if found:
+                at = np.unique(_places(np.concatenate(found), bits))
+                byte = (at >> np.uint64(3)).astype(np.int64)
+                head = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]])) if len(at) else np.zeros(0, np.int64)
+                if len(at):
+                    out[byte[head]] |= np.bitwise_or.reduceat((1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8), head)
+        part = out.reshape(slices, -1)
+        some = np.flatnonzero(part.any(1))
+        yield pa.RecordBatch.from_pydict({"slice": some.tolist(), "counts": [zstd().compress(part[k].tobytes(), asbytes=True) for k in some]}, schema=_COUNTS)
+
+    def merging(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                x = np.frombuffer(zstd().decompress(x, bits // 8 // slices), np.uint8)
+                sums[k] = sums[k] | x if k in sums else x
+        if sums:
+            yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [x.tobytes() for x in sums.values()]}, schema=_COUNTS)
+
+    parts = df.mapInArrow(lean(marking), "slice int, counts binary").repartition(min(slices, partitions(df.sparkSession)), "slice")
+    out = np.zeros((slices, bits // 8 // slices), np.uint8)
+    for r in parts.mapInArrow(lean(merging), "slice int, counts binary").collect():  # MOST_BITS at most
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)
+
+
+def is_marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _places(keys, 8 * len(bitmap))
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 # ---- packed rows ----
 
 
@@ -237,4 +337,4 @@ def gathered(df: DataFrame, step, schema: str, n: int) -> DataFrame:
         if held:
             yield from step(now, held)
 
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), schema)

@@ -1,25 +1,28 @@
 """Removal of repeated byte strings in corpus order, over a parse of every document.
 
 A byte that a string of `length` bytes covers goes if the string also starts earlier (in document order, then place). The
-corpus is parsed at triggers of a rolling hash, like prefix-free parsing: here the trigger of a string is the least 8-byte hash
+corpus is parsed at triggers of a rolling hash, like prefix-free parsing: the trigger of a string is the least 8-byte hash
 among its first `SPAN` places, so every string has one, whatever the text, and equal strings have the same one at the same
-offset (a modulus would leave strings without any). A trigger thus owns the strings of an interval of offsets, and its phrase
-is the text that they cover.
-
-1. Dictionary: the phrases of all triggers are put into order by a hash of the bytes that follow the trigger (their core),
-   then of the whole phrase, then by place in the corpus. Only equality at `length` bytes matters, so hashes of bounded
-   suffixes take the place of the suffix arrays of dictionary and parse, whose lexical order would go unused. Of equal
-   phrases all but the first in corpus order are wholly repeated. The first one of each is wholly new if it is alone under
-   its core.
-2. Parse: where different phrases share a core (at the rims of repeated passages), the first of each are read again, and
-   their single strings put in corpus order, by hash, place by place.
-3. Every document gets its repeated intervals, which it joins, and loses the bytes that they cover.
-
-Phrases travel packed by buckets; hot ones are first reduced within each map task, as of equal phrases of a task all but the
-first are repeated whatever the other tasks hold. Texts longer than SEGMENT bytes are parsed in overlapping segments.
+offset (a fixed remainder would leave strings without any trigger, and phrases without bound). A trigger thus owns the strings
+of an interval of offsets, and its phrase is the text that they cover; phrases overlap, so each string lies whole in one.
+
+1. Parse: every phrase is named by a digest of its bytes. Of equal phrases all but the first in corpus order are wholly
+   repeated. The first one is wholly new if no other phrase has its core, the bytes after the trigger that all its strings
+   share.
+2. Dictionary: where different phrases share a core (at the rims of repeated passages), their bytes are read again. A task
+   lays them side by side and sorts the suffixes that start strings, as far as `length` bytes: the suffix array of its part
+   of the dictionary, in which neighbours with a common prefix of `length` bytes are equal strings. Ties stand in corpus
+   order, the order of the parse, so the first of each run stays and the others are repeated.
+3. Strings that are first in their task meet those of other tasks by a digest of 96 bits, again in corpus order.
+4. Every document gets its repeated intervals, which it joins, and loses the bytes that they cover.
+
+Records travel packed by buckets. Within a task equal phrases and equal strings are told apart first, and phrases of a core
+that a task holds in several versions are known as rims without meeting others, so no core, phrase or string that a third of
+all documents share brings more than a few records of each task to its bucket. Texts longer than SEGMENT bytes are parsed in
+overlapping segments.
 
 Rows: a null text counts as empty; rows of one id are ordered by their text's hash and take part in order; null ids come last.
-Other columns are ignored.
+Results replace input columns of their names; other columns are carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +31,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOBS, Ranges, buffers, columns_of, from_columns, gathered, materialize, mix, packed, partitions, table
+from .common import BLOBS, Ranges, buffers, columns_of, forget, from_columns, gathered, is_marked, lean, marks, materialize, mix, packed, partitions, table, unused
 
 LENGTH, SPAN, SEGMENT = 100, 64, 1 << 22
 GRAM = 8
-#: A trigger with its interval of string starts, place - high .. place - low; repeated if `done`.
-#: `whole` is the phrase's hash in 48 bits; it only tells phrases with one core apart.
-PHRASE = np.dtype([("core", "<u8"), ("whole", "<u4"), ("more", "<u2"), ("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
-STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("place", "<u4")])
+#: A trigger with its interval of string starts, place - high .. place - low. `core` has 48 bits and only groups; `whole` is a
+#: digest of the phrase's bytes, seeded by the trigger's offset.
+PHRASE = np.dtype([("core", "<u4"), ("more", "<u2"), ("whole", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
+STRING = np.dtype([("hash", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("place", "<u4")])
 INTERVAL = np.dtype([("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
 RIM = np.dtype([("doc", "<i8"), ("place", "<u4"), ("low", "u1"), ("high", "u1")])
-BUCKET_PHRASES = 150_000
+#: In `low` of a posted phrase: the task knows its core as shared, and the phrase as a rim.
+KNOWN = 128
+#: Phrases of a bucket; phrases and strings after which a task passes on what it has.
+BUCKET_PHRASES, FLUSH_PHRASES, FLUSH_STRINGS = 150_000, 300_000, 200_000
 
 
 def triggers(data: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,25 +82,37 @@ def _segments(column: pa.Array, ids: np.ndarray, length: int):
             yield i, base, data[a + base : min(b, a + base + SEGMENT + length - 1)]
 
 
-def first_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Flags of the first row of each run of equal keys in the given order, by original row."""
-    k = keys[order]
-    flag = np.zeros(len(k), bool)
-    flag[order] = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else []
-    return flag
+def _cores(r: np.ndarray) -> np.ndarray:
+    return r["more"].astype(np.uint64) << np.uint64(32) | r["core"]
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Flags of the rows that differ from the one before in any key."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
 
 
 def first_phrases(r: np.ndarray) -> np.ndarray:
     """Flags of the first of equal phrases in corpus order."""
-    order = np.lexsort((r["place"], r["doc"], r["more"], r["whole"], r["core"]))
-    k, flag = r[order], np.zeros(len(r), bool)
-    if len(r):
-        flag[order] = np.concatenate([[True], (k["core"][1:] != k["core"][:-1]) | (k["whole"][1:] != k["whole"][:-1]) | (k["more"][1:] != k["more"][:-1])])
+    core, flag = _cores(r), np.zeros(len(r), bool)
+    order = np.lexsort((r["place"], r["doc"], r["whole"], core))
+    flag[order] = _changes(core[order], r["whole"][order])
     return flag
 
 
+def _marked(records: np.ndarray, flag: bytes, key: np.ndarray, buckets: int):
+    for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS, columns_of):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flag + x for x in b.column(1).to_pylist()], pa.binary())], schema=BLOBS)
+
+
+def _documents(r: np.ndarray) -> np.ndarray:
+    return r["doc"].astype(np.uint64)
+
+
 def _phrases(batches, length: int, span: int, buckets: int):
-    """Packed rows: phrases (first byte 1), and intervals found repeated within the task (first byte 0, bucket -1 - ...)."""
+    """Packed rows: posted phrases (first byte 1), by core; by document those found repeated within the task (0) and rims (2)."""
     held, size = [], 0
 
     def flush():
@@ -101,33 +120,34 @@ def _phrases(batches, length: int, span: int, buckets: int):
             return
         r = np.concatenate(held)
         first = first_phrases(r)
-        yield from _marked(r[~first], b"\0", r["core"][~first], buckets)
-        yield from _marked(r[first], b"\1", r["core"][first], buckets)
+        yield from _marked(r[~first], b"\0", _documents(r[~first]), buckets)
+        r = r[first]
+        _, at, group, count = np.unique(_cores(r), return_index=True, return_inverse=True, return_counts=True)
+        several = count[group] > 1
+        yield from _marked(r[several], b"\2", _documents(r[several]), buckets)
+        heads = r[at[count > 1]]
+        heads["low"] |= KNOWN
+        posted = np.concatenate([r[~several], heads])
+        yield from _marked(posted, b"\1", _cores(posted), buckets)
 
     for batch in batches:
         for i, base, part in _segments(batch["text"], batch["key"].to_numpy(), length):
             place, low, high = triggers(part, length, span)
             if not len(place):
                 continue
-            ranges = Ranges(part)
-            r = np.empty(len(place), PHRASE)
-            r["core"] = ranges.of(place, place + length - span + 1)
-            whole = mix(ranges.of(place - high, place - low + length) + (low * 256 + high).astype(np.uint64), 5)
-            r["whole"], r["more"] = whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(48)
+            r, view = np.empty(len(place), PHRASE), memoryview(part)
+            core = Ranges(part).of(place, place + length - span + 1)
+            r["core"], r["more"] = core & np.uint64(0xFFFFFFFF), core >> np.uint64(48)
+            r["whole"] = [xxhash.xxh3_64_intdigest(view[a:b], h) for a, b, h in zip((place - high).tolist(), (place - low + length).tolist(), high.tolist(), strict=True)]
             r["doc"], r["place"], r["low"], r["high"] = i, place + base, low, high
             held.append(r)
             size += len(r)
-        if size > 500_000:
-            yield from flush()
-            held, size = [], 0
+            if size > FLUSH_PHRASES:
+                yield from flush()
+                held, size = [], 0
     yield from flush()
 
 
-def _marked(records: np.ndarray, flag: bytes, key: np.ndarray, buckets: int):
-    for b in packed(records, (mix(key, 12) % np.uint64(buckets)).astype(np.int64), BLOBS, columns_of):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flag + x for x in b.column(1).to_pylist()], pa.binary())], schema=BLOBS)
-
-
 def _intervals(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), INTERVAL)
     out["doc"], out["first"], out["last"] = r["doc"], r["place"] - r["high"], r["place"] - r["low"]
@@ -138,26 +158,32 @@ KINDS = pa.schema([("kind", pa.int32()), *BLOBS])
 
 
 def _by_document(records: np.ndarray, kind: int, shards: int):
-    for b in packed(records, (mix(records["doc"].astype(np.uint64), 31) % np.uint64(shards)).astype(np.int64), BLOBS):
+    for b in packed(records, (mix(_documents(records), 31) % np.uint64(shards)).astype(np.int64), BLOBS):
         yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns], schema=KINDS)
 
 
+def _rims(r: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r), RIM)
+    for name in RIM.names:
+        out[name] = r[name]
+    return out
+
+
 def _sorted_phrases(shards: int):
     """Kind 0: repeated intervals; kind 1: rims, first phrases under a core that others share."""
 
     def step(_, blobs):
-        repeated = [from_columns(b, PHRASE, 1) for b in blobs if b[0] == 0]
-        posted = [from_columns(b, PHRASE, 1) for b in blobs if b[0] == 1]
-        r = np.concatenate(posted) if posted else np.zeros(0, PHRASE)
+        of = lambda flag: np.concatenate([np.zeros(0, PHRASE), *(from_columns(b, PHRASE, 1) for b in blobs if b[0] == flag)])
+        repeated, posted, rims = of(0), of(1), of(2)
+        known = posted["low"] >= KNOWN
+        r = posted[~known]
         first = first_phrases(r)
-        yield from _by_document(_intervals(np.concatenate([*repeated, r[~first]])), 0, shards)
+        yield from _by_document(_intervals(np.concatenate([repeated, r[~first]])), 0, shards)
         r = r[first]
-        _, group, count = np.unique(r["core"], return_inverse=True, return_counts=True)
-        r = r[count[group] > 1] if len(r) else r
-        rims = np.empty(len(r), RIM)
-        for name in RIM.names:
-            rims[name] = r[name]
-        yield from _by_document(rims, 1, shards)
+        core = _cores(r)
+        _, group, count = np.unique(core, return_inverse=True, return_counts=True)
+        shared = (count[group] > 1) | np.isin(core, _cores(posted[known])) if len(r) else np.zeros(0, bool)
+        yield from _by_document(_rims(np.concatenate([rims, r[shared]])), 1, shards)
 
     return step
 
@@ -171,6 +197,85 @@ def _per_document(dtype: np.dtype):
     return step
 
 
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, new, suffixes): the suffixes of data at `starts` in the order of their first `length` bytes, ties as given; whether each
+    has a common prefix of fewer than `length` bytes with the one before it; and the suffixes, so cut, as given."""
+    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]) if len(starts) else np.zeros((0, length), np.uint8)
+    order = np.argsort(suffixes.view(f"V{length}").ravel(), kind="stable")
+    new = np.ones(len(order), bool)
+    if len(order):
+        ranked = suffixes[order]
+        new[1:] = (ranked[1:] != ranked[:-1]).any(1)
+    return order, new, suffixes
+
+
+def _stretches(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Strings as intervals, neighbouring ones joined."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    new = _changes(doc, place - np.arange(len(place)))
+    at = np.flatnonzero(new)
+    out = np.empty(len(at), INTERVAL)
+    out["doc"], out["first"] = doc[at], place[at]
+    out["last"] = place[np.append(at[1:], len(place)) - 1] if len(at) else []
+    return out
+
+
+def _strings(batches, length: int, buckets: int):
+    """Packed rows: repeated intervals (first byte 0), by document; strings that are first in their task (1), by digest."""
+    pieces, starts, docs, places, size, filled = [], [], [], [], 0, 0
+
+    def flush():
+        if not size:
+            return
+        doc, place, start = np.concatenate(docs), np.concatenate(places), np.concatenate(starts)
+        corpus = np.lexsort((place, doc))
+        doc, place, start = doc[corpus], place[corpus], start[corpus]
+        order, new, suffixes = suffix_array(np.concatenate(pieces), start, length)
+        gone, kept = order[~new], order[new]
+        out = _stretches(doc[gone], place[gone])
+        yield from _marked(out, b"\0", _documents(out), buckets)
+        r, view = np.empty(len(kept), STRING), memoryview(suffixes.reshape(-1))
+        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[length * k : length * (k + 1)]) for k in kept.tolist()]), "<u8").reshape(-1, 2)
+        r["hash"], r["more"] = digests[:, 0], digests[:, 1] & np.uint64(0xFFFFFFFF)
+        r["doc"], r["place"] = doc[kept], place[kept]
+        yield from _marked(r, b"\1", digests[:, 0], buckets)
+
+    for batch in batches:
+        data, offsets = buffers(batch["text"])
+        for i, a, found in zip(batch["key"].to_pylist(), offsets[:-1].tolist(), batch["found"].to_pylist(), strict=True):
+            rims = np.frombuffer(found, RIM)
+            for part in np.array_split(rims, len(rims) // 5000 + 1):
+                first, last = part["place"].astype(np.int64) - part["high"], part["place"].astype(np.int64) - part["low"]
+                for s, e in zip(first.tolist(), last.tolist(), strict=True):
+                    pieces.append(data[a + s : a + e + length])
+                many = last - first + 1
+                step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                base = filled + np.cumsum(many + length - 1) - (many + length - 1)
+                starts.append(np.repeat(base, many) + step)
+                places.append(np.repeat(first, many) + step)
+                docs.append(np.full(len(step), i, np.int64))
+                filled += int((many + length - 1).sum())
+                size += len(step)
+                if size > FLUSH_STRINGS:
+                    yield from flush()
+                    pieces, starts, docs, places, size, filled = [], [], [], [], 0, 0
+        pieces = [p.copy() if p.base is not None else p for p in pieces]  # not to hold on to the batch
+    yield from flush()
+
+
+def _settled(shards: int):
+    def step(_, blobs):
+        repeated = [from_columns(b, INTERVAL, 1) for b in blobs if b[0] == 0]
+        posted = [from_columns(b, STRING, 1) for b in blobs if b[0] == 1]
+        r = np.concatenate([np.zeros(0, STRING), *posted])
+        order = np.lexsort((r["place"], r["doc"], r["more"], r["hash"]))
+        gone = order[~_changes(r["hash"][order], r["more"][order])]
+        yield from _by_document(np.concatenate([*repeated, _stretches(r["doc"][gone], r["place"][gone].astype(np.int64))]), 0, shards)
+
+    return step
+
+
 def covered(intervals: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by the strings that start in the (sorted) intervals."""
     if not len(intervals):
@@ -182,110 +287,110 @@ def covered(intervals: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:], len(s)) - 1].tolist(), strict=True))
 
 
+def _of_documents(found: DataFrame, dtype: np.dtype):
+    """Marks of the documents that packed records name."""
+    keys = lambda batch: [np.unique(np.frombuffer(b, dtype)["doc"]) for b in batch["blob"].to_pylist()]
+    return marks(found, keys)
+
+
+def _only(docs: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """The marked rows of docs; they need no more than these to meet what was found in them."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # bounded by marks()
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(shared.value, batch[key].to_numpy())))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """(key, found) for the documents(key, text) that have repeated strings; keys are distinct and in corpus order."""
+    """(key, found) for the documents(key, text) that have repeated strings, written; keys are distinct and in corpus order."""
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(n, int(2 * size / (span + 1) // BUCKET_PHRASES) + 1)
-    phrases = docs.mapInArrow(lambda it: _phrases(it, length, span, buckets), "bucket long, blob binary")
+    phrases = docs.mapInArrow(lean(lambda it: _phrases(it, length, span, buckets)), "bucket long, blob binary")
     found = materialize(gathered(phrases, _sorted_phrases(buckets), "kind int, bucket long, blob binary", n))
-    rims = gathered(found.where("kind = 1").select("bucket", "blob"), _per_document(RIM), "key long, found binary", n)
+    rims = found.where("kind = 1").select("bucket", "blob")
+    own = _only(docs, "key", _of_documents(rims, RIM)).join(gathered(rims, _per_document(RIM), "key long, found binary", n), "key")
+    strings = own.mapInArrow(lean(lambda it: _strings(it, length, buckets)), "bucket long, blob binary")
+    singles = gathered(strings, _settled(buckets), "kind int, bucket long, blob binary", n)
+    out = materialize(gathered(found.where("kind = 0").unionByName(singles).select("bucket", "blob"), _per_document(INTERVAL), "key long, found binary", n))
+    forget(found)
+    return out
 
-    def strings(batches):
-        held, cores, size = [], [], 0
 
-        def flush():
-            if held:
-                r, core = np.concatenate(held), np.concatenate(cores)
-                first = first_of(r["hash"], np.lexsort((r["place"], r["doc"], r["hash"])))
-                # equal strings have one trigger and so one core; a phrase's strings stay side by side
-                yield from _marked(r[~first], b"\0", core[~first], buckets)
-                yield from _marked(r[first], b"\1", core[first], buckets)
+def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """df with column `key`, distinct and in the order of id and then text hash: the id itself where ids are distinct, or else
+    the place in a table sorted by ranges, which are cut through rows of one id and so bounded."""
+    ids = F.col(id_col).cast("long")
+    n, distinct = df.agg(F.count("*"), F.count_distinct(ids)).first()
+    if n == distinct:
+        return df.withColumn(key, ids)
+    own, mark, row = (unused(df, c) for c in ("own_id", "text_mark", "row_id"))
+    rows = df.withColumns({own: ids, mark: F.xxhash64(text_col), row: F.monotonically_increasing_id()})
+    order = [F.asc_nulls_last(own), F.asc(mark), F.asc(row)]
+    placed = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(placed.withColumn(key, F.monotonically_increasing_id()).drop(own, mark, row))
+
+
+def _cut(df: DataFrame, id_col: str, text_col: str, length: int, span: int, more: T.StructType, made) -> DataFrame:
+    """df without the columns of `more`, and these: made(bytes or None, runs) gives their values for a row."""
+    assert span + GRAM <= length and span <= 128
+    key, found_in = unused(df, "key"), unused(df, "found")
+    whole = keyed(df, id_col, text_col, key)
+    found = repeated_intervals(whole.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, span)
+    bits = marks(found, lambda batch: [batch["key"].to_numpy()])
+    replaced = {f.name for f in more}
+    carried = [f.name for f in df.schema if f.name not in replaced]
+    schema = T.StructType([f if f.name not in replaced else more[f.name] for f in df.schema] + [f for f in more if f.name not in df.columns])
+    shared = df.sparkSession.sparkContext.broadcast(bits)  # bounded by marks()
+
+    def results(batch, intervals):
+        data, offsets = buffers(batch[text_col])
+        some = batch[text_col].is_valid().to_pylist()
+        values = []
+        for a, b, here, f in zip(offsets[:-1].tolist(), offsets[1:].tolist(), some, intervals, strict=True):
+            values.append(made(data[a:b].tobytes() if here else None, covered(np.frombuffer(f, INTERVAL), length) if f else []))
+        kinds = {f.name: k for f, k in zip(more, zip(*values, strict=True) if values else [[]] * len(more), strict=True)}
+        return pa.RecordBatch.from_arrays([batch[f.name] if f.name in carried else pa.array(kinds[f.name], _ARROW[f.dataType.simpleString()]) for f in schema], names=schema.names)
+
+    def joined(batches):
+        for batch in batches:
+            yield results(batch, batch[found_in].to_pylist())
 
+    def alone(batches):
         for batch in batches:
-            data, offsets = buffers(batch["text"])
-            for i, a, b, rim in zip(batch["key"].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch["found"].to_pylist(), strict=True):
-                rim = np.frombuffer(rim, RIM)
-                part = rim["place"] // SEGMENT
-                for k in np.unique(part).tolist():  # places are hashed relative to a stretch of bounded length
-                    own = rim[part == k]
-                    base = max(0, k * SEGMENT - 256)
-                    ranges = Ranges(data[a + base : min(b, a + (k + 1) * SEGMENT + 256)])
-                    many = (own["high"].astype(np.int64) - own["low"]) + 1
-                    starts = np.repeat(own["place"].astype(np.int64) - own["high"], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                    r = np.empty(len(starts), STRING)
-                    r["hash"], r["doc"], r["place"] = ranges.of(starts - base, starts - base + length), i, starts
-                    at = own["place"].astype(np.int64) - base
-                    held.append(r)
-                    cores.append(np.repeat(ranges.of(at, at + length - span + 1), many))
-                    size += len(r)
-                if size > 500_000:
-                    yield from flush()
-                    held, cores, size = [], [], 0
-        yield from flush()
+            batch = batch.filter(pa.array(~is_marked(shared.value, batch[key].to_numpy())))
+            yield results(batch, [None] * batch.num_rows)
 
-    def settled(_, blobs):
-        repeated = [from_columns(b, STRING, 1) for b in blobs if b[0] == 0]
-        posted = [from_columns(b, STRING, 1) for b in blobs if b[0] == 1]
-        r = np.concatenate(posted) if posted else np.zeros(0, STRING)
-        first = first_of(r["hash"], np.lexsort((r["place"], r["doc"], r["hash"])))
-        r = np.concatenate([*repeated, r[~first]])
-        out = np.empty(len(r), INTERVAL)
-        out["doc"], out["first"], out["last"] = r["doc"], r["place"], r["place"]
-        yield from _by_document(out, 0, buckets)
+    some = _only(whole, key, bits).join(found.select(F.col("key").alias(key), F.col("found").alias(found_in)), key, "left")
+    return some.mapInArrow(lean(joined), schema).unionByName(whole.mapInArrow(lean(alone), schema))
 
-    singles = gathered(docs.join(rims, "key").mapInArrow(strings, "bucket long, blob binary"), settled, "kind int, bucket long, blob binary", n)
-    return gathered(found.where("kind = 0").unionByName(singles).select("bucket", "blob"), _per_document(INTERVAL), "key long, found binary", n)
 
+_ARROW = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary(), "string": pa.string()}
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with `__key`, distinct and in the order of id and then text hash; the id itself where ids are distinct."""
-    ids = F.col(id_col).cast("long")
-    n, distinct, some, least, most = df.agg(F.count("*"), F.count_distinct(ids), F.count(ids), F.min(ids), F.max(ids)).first()
-    if n == distinct == some:
-        return df.withColumn("__key", ids)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(ids).orderBy(F.xxhash64(text_col))
-    ranked = materialize(df.withColumn("__nth", F.row_number().over(w)))
-    counts = ranked.groupBy(F.coalesce(ids, F.lit((1 << 63) - 1)).alias("__id")).agg(F.count("*").alias("n"))
-    ranges = counts.repartitionByRange(partitions(df.sparkSession), "__id").withColumn("__part", F.spark_partition_id())
-    ranges = materialize(ranges)
-    sums, before = {}, 0
-    for p, s in sorted(tuple(r) for r in ranges.groupBy("__part").agg(F.sum("n")).collect()):  # one row a partition
-        sums[p], before = before, before + s
-    w = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
-    bases = df.sparkSession.createDataFrame(list(sums.items()) or [(0, 0)], "__part int, base long")
-    places = ranges.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(bases), "__part").select("__id", (F.col("at") + F.col("base")).alias("__at"))
-    return ranked.join(places, F.coalesce(ids, F.lit((1 << 63) - 1)) == places["__id"]).withColumn("__key", F.col("__at") + F.col("__nth")).drop("__id", "__at", "__nth")
+
+def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for run in gone for x in run), len(raw)]
+    return b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, digest: bool = False) -> DataFrame:
-    """df's columns and n_bytes, runs (start and end of each removed run), kept_bytes; with digest, kept_sha256 in place of
-    the texts."""
-    assert span + GRAM <= length and span <= 128
-    whole = keyed(df, id_col, text_col)
-    found = repeated_intervals(whole.select(F.col("__key").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, span)
-    found = found.select(F.col("key").alias("__key"), F.col("found").alias("__found"))
-    joined = whole.join(found, "__key", "left")
-    carried = [f for f in whole.drop("__key").schema if not (digest and f.name == text_col)]
+    """df's columns and n_bytes, runs (start and end of each removed run), kept_bytes or, with digest, kept_sha256."""
     last = "kept_sha256 string" if digest else "kept_bytes binary"
-    schema = T.StructType([*carried, *T.StructType.fromDDL(f"n_bytes bigint, runs array<bigint>, {last}").fields])
-    names = [f.name for f in schema]
 
-    def cutting(batches):
-        for batch in batches:
-            data, offsets = buffers(batch[text_col])
-            raw, made = data.tobytes(), []
-            for a, b, f in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch["__found"].to_pylist(), strict=True):
-                gone = covered(np.frombuffer(f, INTERVAL), length) if f else []
-                edges = [0, *(x for run in gone for x in run), b - a]
-                kept = b"".join(raw[a + s : a + e] for s, e in zip(edges[::2], edges[1::2], strict=True))
-                made.append((b - a, edges[1:-1], hashlib.sha256(kept).hexdigest() if digest else kept))
-            more = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.string() if digest else pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), *more], names=names)
-
-    return joined.mapInArrow(cutting, schema)
+    def made(raw, gone):
+        kept = _kept(raw or b"", gone)
+        return len(raw or b""), [x for run in gone for x in run], hashlib.sha256(kept).hexdigest() if digest else kept
+
+    return _cut(df, id_col, text_col, length, span, T.StructType.fromDDL(f"n_bytes bigint, runs array<bigint>, {last}"), made)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
+    """df with what is left of its texts; a character that a cut parts goes whole. A null text stays null."""
+    made = lambda raw, gone: (None if raw is None else _kept(raw, gone).decode(errors="ignore"),)
+    return _cut(df, id_col, text_col, length, span, T.StructType([T.StructField(text_col, T.StringType())]), made)
 
 
 def op7_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
