@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import lean, partitions, table
 
 #: Characters of a chunk and of its overlap with the next one.
 CHUNK, OVERLAP = 16384, 512
@@ -216,9 +216,9 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             yield done()
 
     n = partitions(df.sparkSession)
-    parts = docs.where(long).mapInArrow(cutting, cut).repartition(n, "uid", "chunk").mapInArrow(encoding, coded)
-    stitched = parts.repartition(n, "uid").sortWithinPartitions("uid", "chunk").mapInArrow(stitching, RESULT)
-    return docs.where(~long).select("doc_id", "text").mapInArrow(whole, RESULT).unionByName(stitched)
+    parts = docs.where(long).mapInArrow(lean(cutting), cut).repartition(n, "uid", "chunk").mapInArrow(lean(encoding), coded)
+    stitched = parts.repartition(n, "uid").sortWithinPartitions("uid", "chunk").mapInArrow(lean(stitching), RESULT)
+    return docs.where(~long).select("doc_id", "text").mapInArrow(lean(whole), RESULT).unionByName(stitched)
 
 
 def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

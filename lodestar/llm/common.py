@@ -91,8 +91,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_hash(*cols) -> F.Column:
-    return F.xxhash64(*cols)
+def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """df with column `key`, distinct and in the order of id and then text hash: the id itself where ids are distinct, or else
+    the place in a table sorted by ranges, which are cut through rows of one id and so bounded."""
+    ids = F.col(id_col).cast("long")
+    n, distinct = df.agg(F.count("*"), F.count_distinct(ids)).first()
+    if n == distinct:
+        return df.withColumn(key, ids)
+    own, mark, row = (unused(df, c) for c in ("own_id", "text_mark", "row_id"))
+    rows = df.withColumns({own: ids, mark: F.xxhash64(text_col), row: F.monotonically_increasing_id()})
+    order = [F.asc_nulls_last(own), F.asc(mark), F.asc(row)]
+    placed = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(placed.withColumn(key, F.monotonically_increasing_id()).drop(own, mark, row))
 
 
 # ---- Arrow ----
@@ -197,8 +207,24 @@ def counters(batches, hashes_of, width: int, slices: int):
             held, size = [], 0
     if size:
         settle()
-    part = total.reshape(slices, -1)
-    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [zstd().compress(x.tobytes(), asbytes=True) for x in part]}, schema=_COUNTS)
+    yield pa.RecordBatch.from_pydict({"slice": list(range(slices)), "counts": [planes(x) for x in total.reshape(slices, -1)]}, schema=_COUNTS)
+
+
+def planes(counts: np.ndarray) -> bytes:
+    """16-bit counts, most of them small: their two low bits as planes, and what is higher by place."""
+    high = counts >> 2
+    at = np.flatnonzero(high).astype("<u4")
+    parts = [np.packbits((counts & 1).astype(bool)), np.packbits((counts >> 1 & 1).astype(bool)), np.diff(at, prepend=np.uint32(0)).view(np.uint8), high[at].astype("<u2").view(np.uint8)]
+    return len(at).to_bytes(4, "little") + zstd().compress(np.concatenate(parts).tobytes(), asbytes=True)
+
+
+def from_planes_of(blob: bytes, width: int) -> np.ndarray:
+    n, bits = int.from_bytes(blob[:4], "little"), width // 8
+    raw = np.frombuffer(zstd().decompress(blob[4:], 2 * bits + 6 * n), np.uint8)
+    out = np.unpackbits(raw[:bits]).astype(np.uint16) | np.unpackbits(raw[bits : 2 * bits]).astype(np.uint16) << 1
+    at = np.cumsum(raw[2 * bits : 2 * bits + 4 * n].copy().view("<u4"), dtype=np.uint32)
+    out[at] |= raw[2 * bits + 4 * n :].copy().view("<u2") << 2
+    return out
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -212,7 +238,7 @@ def _summed(width: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                x = np.frombuffer(zstd().decompress(x, 2 * width), np.uint16).astype(np.uint32)
+                x = from_planes_of(x, width).astype(np.uint32)
                 sums[k] = sums[k] + x if k in sums else x
         if sums:
             yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [scaled(x).tobytes() for x in sums.values()]}, schema=_COUNTS)
@@ -223,8 +249,8 @@ def _summed(width: int):
 def sketch(df: DataFrame, hashes_of, width: int, slices: int = 64) -> np.ndarray:
     """Scaled counts of hashed values over all rows of df in `width` one-byte counters. The callers bound `width`, whatever
     the input, so the driver can hold it and broadcast it; partial counts are summed slice by slice on the executors."""
-    parts = df.mapInArrow(lambda it: counters(it, hashes_of, width, slices), "slice int, counts binary")
-    done = parts.repartition(min(slices, partitions(df.sparkSession)), "slice").mapInArrow(_summed(width // slices), "slice int, counts binary").collect()
+    parts = df.mapInArrow(lean(lambda it: counters(it, hashes_of, width, slices)), "slice int, counts binary")
+    done = parts.repartition(min(slices, partitions(df.sparkSession)), "slice").mapInArrow(lean(_summed(width // slices)), "slice int, counts binary").collect()
     out = np.zeros((slices, width // slices), np.uint8)
     for r in done:
         out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)

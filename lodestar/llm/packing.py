@@ -6,7 +6,7 @@ dealt into shards of bounded size, and in each shard, longest first, a segment t
 tightest open window that still holds the piece, or a new window is opened. A shard wastes a few windows at most.
 
 Rows: a null or empty text has only its end id; null and repeated document ids are kept, each row packed by itself; ties in
-length go by document id; other columns are ignored.
+length go by document id; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, safe_slices
-from .common import materialize, table
+from .common import lean, materialize, table
 
 WINDOW, END = 1024, 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -59,7 +59,7 @@ def cut(df: DataFrame, json_path: str, rank_path: str | None, pattern: str, wind
                 out += [(i, a, min(window, n - a), zlib.crc32(ids[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, schema=_SCHEMA)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 class OpenWindows:
@@ -130,7 +130,8 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None, pattern: str, win
         names, offsets = best_fit_decreasing(part["length"].tolist(), window)
         return part.drop(columns="shard").assign(sequence_id=((key[0] << 32) + np.array(names, np.int64)) * 2, offset=np.array(offsets, np.int64))
 
-    packed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInPandas(shard, PIECES + ", sequence_id long, offset long")
+    # rows of a table that is written: their numbers stand, and part equal rows
+    packed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInPandas(shard, PIECES + ", sequence_id long, offset long")
     return full.unionByName(packed)
 
 

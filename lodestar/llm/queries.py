@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, token_counts
+from . import secrets
 from .ann import op1_collision_ann
 from .bpe import op6_bpe_chunks
 from .fingerprint import op3_cdc_fingerprints
@@ -18,4 +18,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_collision_ann, op2_secret_ownership, op3_cdc_fingerprints, op4_crf_extract, op5_grouped_prefix_join, op6_bpe_chunks, op7_parse_dedup, op8_delta_rollups, op9_best_fit_packing, op10_ordinal_quality)
 }
-SQL = {"op2_secret_ownership": secrets.SQL, "op8_delta_rollups": token_counts.SQL}
+SQL = {"op2_secret_ownership": secrets.SQL}

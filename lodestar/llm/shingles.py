@@ -8,19 +8,44 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from .common import Ranges, buffers, mix
+from .common import MIX, buffers, mix
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _PART = 1 << 20
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes after another go through a bijection with what came before. Ranges of one
+    length up to eight bytes never collide."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    left = (stop - start).astype(np.int64)
+    out = mix(left.astype(np.uint64) * MIX, 61)
+    long = np.flatnonzero(left > _LONG)
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].tobytes())
+    at, who = start.astype(np.int64).copy(), np.flatnonzero((left > 0) & (left <= _LONG))
+    while len(who):
+        n = left[who]
+        x = lanes[at[who]]
+        short = n < 8
+        x[short] &= (np.uint64(1) << (8 * n[short]).astype(np.uint64)) - np.uint64(1)
+        out[who] = mix(out[who] ^ x, 62)
+        at[who] += 8
+        left[who] -= 8
+        who = who[left[who] > 0]
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of bytes that are not blank), and the number of the text of each. Works through about a megabyte at a time; a longer word is
-    taken whole."""
+    """Hashes of all words (runs of bytes that are not blank), and the number of the text of each. Works through about a
+    megabyte at a time; a longer word is taken whole."""
     hashes, owners, at = [], [], 0
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -34,7 +59,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLAN
         joined = seen[1:] & seen[:-1] & ~edge[at + 1 : end]
         start = np.flatnonzero(seen & ~np.concatenate([[False], joined]))
         stop = np.flatnonzero(seen & ~np.concatenate([joined, [False]])) + 1
-        hashes.append(Ranges(part).of(start, stop))
+        hashes.append(range_hashes(part, start, stop))
         owners.append(np.searchsorted(offsets, start + at, "right") - 1)
         at = end
     return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))

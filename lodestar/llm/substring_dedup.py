@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOBS, Ranges, buffers, columns_of, forget, from_columns, gathered, is_marked, lean, marks, materialize, mix, packed, partitions, table, unused
+from .common import BLOBS, Ranges, buffers, columns_of, forget, from_columns, gathered, is_marked, keyed, lean, marks, materialize, mix, packed, partitions, table, unused
 
 LENGTH, SPAN, SEGMENT = 100, 64, 1 << 22
 GRAM = 8
@@ -198,8 +198,8 @@ def _per_document(dtype: np.dtype):
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, new, suffixes): the suffixes of data at `starts` in the order of their first `length` bytes, ties as given; whether each
-    has a common prefix of fewer than `length` bytes with the one before it; and the suffixes, so cut, as given."""
+    """(order, new, suffixes): the suffixes of data at `starts` in the order of their first `length` bytes, ties as given;
+    whether the common prefix of each with the one before it is shorter than that; and the suffixes, so cut, as given."""
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]) if len(starts) else np.zeros((0, length), np.uint8)
     order = np.argsort(suffixes.view(f"V{length}").ravel(), kind="stable")
     new = np.ones(len(order), bool)
@@ -232,7 +232,7 @@ def _strings(batches, length: int, buckets: int):
         corpus = np.lexsort((place, doc))
         doc, place, start = doc[corpus], place[corpus], start[corpus]
         order, new, suffixes = suffix_array(np.concatenate(pieces), start, length)
-        gone, kept = order[~new], order[new]
+        gone, kept = order[~new], np.sort(order[new])  # kept in corpus order, whose differences are small
         out = _stretches(doc[gone], place[gone])
         yield from _marked(out, b"\0", _documents(out), buckets)
         r, view = np.empty(len(kept), STRING), memoryview(suffixes.reshape(-1))
@@ -320,20 +320,6 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, span: int = SPAN)
     return out
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """df with column `key`, distinct and in the order of id and then text hash: the id itself where ids are distinct, or else
-    the place in a table sorted by ranges, which are cut through rows of one id and so bounded."""
-    ids = F.col(id_col).cast("long")
-    n, distinct = df.agg(F.count("*"), F.count_distinct(ids)).first()
-    if n == distinct:
-        return df.withColumn(key, ids)
-    own, mark, row = (unused(df, c) for c in ("own_id", "text_mark", "row_id"))
-    rows = df.withColumns({own: ids, mark: F.xxhash64(text_col), row: F.monotonically_increasing_id()})
-    order = [F.asc_nulls_last(own), F.asc(mark), F.asc(row)]
-    placed = rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    return materialize(placed.withColumn(key, F.monotonically_increasing_id()).drop(own, mark, row))
-
-
 def _cut(df: DataFrame, id_col: str, text_col: str, length: int, span: int, more: T.StructType, made) -> DataFrame:
     """df without the columns of `more`, and these: made(bytes or None, runs) gives their values for a row."""
     assert span + GRAM <= length and span <= 128

@@ -25,12 +25,12 @@ def test_head_left_open(page):
     assert texts(page) == ["One", "Two"]
 
 
-@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "video", "audio", "canvas", "map", "datalist", "math", "template"])
+@pytest.mark.parametrize("tag", ["select", "object", "svg", "video", "audio", "canvas", "datalist", "math", "template"])
 def test_hidden_element_left_open(tag):
     assert texts(f"<body><article><div>One <{tag}>gone <div>gone</div> gone</div><p>Two</p></article><p>Three</p></body>") == ["One", "Two", "Three"]
     assert texts(f"<ul><li>One<{tag}><p>gone</li><li>Two</ul>Three") == ["One", "Two", "Three"]
 
 
 def test_closed_hidden_elements():
-    assert texts("<head><title>x</title></head><body><p>One <button><div>gone</p></div><svg><title>gone</title></svg></button>two</p><svg/><p>Three") == ["One", "two", "Three"]
-    assert texts("<p>One <button>a <button>b</button> two</p><select><option>gone</select>Three") == ["One two", "Three"]
+    assert texts("<head><title>x</title></head><body><p>One <object><div>gone</p></div><svg><title>gone</title></svg></object>two</p><svg/><p>Three") == ["One", "two", "Three"]
+    assert texts("<p>One <button>a</button> two</p><select><option>gone</select>Three") == ["One a two", "Three"]

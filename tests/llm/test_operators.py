@@ -48,7 +48,7 @@ def test_ann(spark):
     v = [(i, r.standard_normal(8).tolist()) for i in range(400)] + [(400, [0.0] * 8), (401, None), (402, [float("nan")] * 8), (403, [1.0] * 8), (404, [1.0] * 8), (500, [1.0] * 8), (None, [1.0] * 8), (600, [1.0, 2.0])]
     clean = ann.clean_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>"), "vec_id", "embedding")
     got = defaultdict(list)
-    for x in ann.search(clean.where("id % 100 = 0"), clean, block_rows=100, query_rows=2).orderBy("query_id", "rank").collect():
+    for x in ann.search(clean.where("id % 100 = 0"), clean, block_rows=100).orderBy("query_id", "rank").collect():
         got[x.query_id].append(x.vec_id)
     good = [(i, np.array(x)) for i, x in v if i is not None and x and len(x) == 8 and np.isfinite(x).all() and any(x)]
     hits = total = 0
@@ -102,7 +102,7 @@ def test_html():
     for _ in range(100):
         found = html_extract.blocks(html_extract.labelled_page(r))
         for block, keep in zip(found, field.decode(found), strict=True):
-            good += (block[0].lstrip("& ")[:1] == "k") == keep
+            good += html_extract.is_content(block) == keep
             n += 1
     assert good / n > 0.97
     page = "<body><nav><a href=x>Home</a></nav><article><h1>T&amp;t</h1><p>One\n <b>two</b>&nbsp;three.<p>Four<script>var a='</p>'</script> five.</article><footer>&copy; x</footer>"
