@@ -9,28 +9,48 @@ from .lexicon import BOOST_SPECIAL, BOOST_STOP, VERB_ENDINGS, FilterConfig
 from .text import words_of
 
 
-def with_words(df: DataFrame) -> DataFrame:
-    """sentence and claim with their words, lower-cased sets, and the claim's 6-grams."""
-    df = df.withColumn("w", words_of(F.col("sentence"))).withColumn("cw", words_of(F.lower("claim"))).withColumn("low", F.lower("sentence"))
-    df = df.withColumn("s", F.array_distinct(F.transform("w", F.lower))).withColumn("c", F.array_distinct("cw"))
+#: What a claim brings to the scores of its sentences.
+CLAIM_COLUMNS = ("cw", "c", "long", "grams")
+
+
+def claim_words(df: DataFrame) -> DataFrame:
+    """df with the claim's words, its lower-cased set, that of its longer words, and its 6-grams; once for all its sentences
+    where the claim is a column of its sample."""
+    df = df.withColumn("cw", words_of(F.lower("claim")))
     n = F.size("cw")
     grams = F.when(n >= 6, F.transform(F.sequence(F.lit(1), n - 5), lambda i: F.array_join(F.slice("cw", i, 6), " "))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("grams", grams)
+    return df.withColumn("c", F.array_distinct("cw")).withColumn("long", longer("c")).withColumn("grams", grams)
+
+
+def with_words(df: DataFrame) -> DataFrame:
+    """sentence and claim with their words, lower-cased sets, and the claim's 6-grams."""
+    df = df if set(CLAIM_COLUMNS) <= set(df.columns) else claim_words(df)
+    df = df.withColumn("w", words_of(F.col("sentence"))).withColumn("low", F.lower("sentence"))
+    return df.withColumn("s", F.array_distinct(F.transform("w", F.lower)))
+
+
+def longer(words) -> Column:
+    return F.filter(words, lambda x: F.length(x) > 3)
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
+def meaningful(config: FilterConfig) -> Column:
+    """Number of words of more than two letters that are no stop words."""
+    return F.size(F.filter("w", lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*config.stop_words)))
+
+
 def quality_parts(config: FilterConfig) -> dict[str, Column]:
     n, w = F.size("w"), F.col("w")
-    stop = F.array(*map(F.lit, config.stop_words))
     length = F.when(n < 3, 0.2).when(n < 5, 0.5).when(n <= 50, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (n - 50) * 0.01))
-    density = F.size(F.filter(w, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, F.lower(x)))) / F.greatest(n, F.lit(1))
-    verb = F.exists(w, lambda x: F.lower(x).rlike("(" + "|".join(VERB_ENDINGS) + ")$"))
-    noun = F.exists(w, lambda x: F.length(x) > 3)
+    density = meaningful(config) / F.greatest(n, F.lit(1))
+    # of the whole sentence, which is as much as of any of its words
+    verb = F.col("low").rlike(r"(" + "|".join(VERB_ENDINGS) + r")([\s\p{Z}]|$)")
+    noun = F.col("sentence").rlike(r"[^\s\p{Z}]{4}")
     structure = F.when(n < 3, 0.3).when(verb & noun, 0.8).when(verb | noun, 0.5).otherwise(0.3)
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+    letters = F.length(F.regexp_replace("sentence", r"[\s\p{Z}]+", ""))
     richness = F.when(n == 0, 0.0).otherwise(0.6 * F.size(F.array_distinct(w)) / n + 0.4 * F.least(F.lit(1.0), letters / n / 8))
     return {"length_score": length, "density": density, "structure": structure, "richness": richness}
 
@@ -44,8 +64,7 @@ def overlap() -> Column:
 
 
 def coherence() -> Column:
-    long = lambda a: F.filter(a, lambda x: F.length(x) > 3)
-    return ratio(F.size(F.array_intersect(long(F.col("s")), long(F.col("c")))), F.size(long(F.col("c"))))
+    return ratio(F.size(F.array_intersect("s", "long")), F.size("long"))
 
 
 def has_gram() -> Column:

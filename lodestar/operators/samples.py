@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import CLAIM_COLUMNS, claim_words
 from ..functions.text import sentences_of
 
 
@@ -22,8 +23,21 @@ def entities_of(claim) -> F.Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(claim, F.lit("[A-Z][a-z]{3,}"), F.lit(0)), F.lower))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(sample_id, ord, sentence, claim, entities) of all sentences but the claims."""
-    all_ = docs.select(F.col("doc_id").alias("sample_id"), sentences_of(F.col("text")).alias("all")).where(F.size("all") > 0)
-    rows = all_.select("sample_id", F.get("all", F.lit(0)).alias("claim"), F.posexplode("all").alias("ord", "sentence")).where("ord > 0")
-    return rows.select("sample_id", F.col("ord").cast("long").alias("ord"), "sentence", "claim", entities_of(F.col("claim")).alias("entities"))
+def samples_of(docs: DataFrame) -> DataFrame:
+    """(sample_id, claim, sentences) of documents; those without text are left out."""
+    rows = docs.select(F.col("doc_id").alias("sample_id"), sentences_of(F.col("text")).alias("all")).where(F.size("all") > 0)
+    return rows.select("sample_id", F.get("all", F.lit(0)).alias("claim"), F.slice("all", 2, F.size("all")).alias("sentences"))
+
+
+def sentences(samples: DataFrame, *more: str) -> DataFrame:
+    """(sample_id, ord, sentence, claim, entities, ...) of samples(sample_id, claim, sentences, ...), ord from 1."""
+    own = samples if "entities" in samples.columns else samples.withColumn("entities", entities_of(F.col("claim")))
+    rows = own.select("sample_id", "claim", "entities", *more, F.posexplode("sentences").alias("ord", "sentence"))
+    return rows.withColumn("ord", (F.col("ord") + 1).cast("long")).select("sample_id", "ord", "sentence", "claim", "entities", *more)
+
+
+def candidates(docs: DataFrame, scored: bool = False) -> DataFrame:
+    """(sample_id, ord, sentence, claim, entities) of all sentences but the claims. scored: with what scores need of the claim,
+    worked out once for each document."""
+    own = samples_of(docs).withColumn("entities", entities_of(F.col("claim")))
+    return sentences(claim_words(own), *CLAIM_COLUMNS) if scored else sentences(own)

@@ -11,7 +11,7 @@ from ..functions import scores, text
 from ..functions.lexicon import CONTRADICTION, FilterConfig
 from ..operators import beam, entities, graph, hops, report, similarity
 from ..operators.cascade import FilterCascade
-from ..operators.samples import candidates, documents, segments
+from ..operators.samples import candidates, documents, samples_of, segments
 from ..session import ship
 from .sql import SQL as SQL
 
@@ -36,8 +36,12 @@ def _candidates(spark, d):
     return candidates(documents(spark, d))
 
 
+def _scored(spark, d):
+    return candidates(documents(spark, d), scored=True)
+
+
 def _words(spark, d):
-    return scores.with_words(_candidates(spark, d))
+    return scores.with_words(_scored(spark, d))
 
 
 def _tokens(spark, d):
@@ -70,7 +74,7 @@ def text_normalize_basic(spark, d):
 @query
 def quality_analysis(spark, d):
     parts = _words(spark, d).withColumns(scores.quality_parts(FilterConfig()))
-    return parts.select("sample_id", "ord", F.size("w").cast("long").alias("word_count"), r6("density").alias("density"), r6("structure").alias("structure"), r6("richness").alias("richness"), r6(F.round(scores.quality(), 9)).alias("quality_score"))
+    return parts.select("sample_id", "ord", F.size("w").cast("long").alias("word_count"), *(F.round(c, 9).alias(c) for c in ("density", "structure", "richness")), r6(F.round(scores.quality(), 9)).alias("quality_score"))
 
 
 @query
@@ -99,7 +103,7 @@ def keyword_boost(spark, d):
 
 
 def _stage(spark, d, k):
-    return FilterCascade().stages(_candidates(spark, d))[k]
+    return FilterCascade().stages(_scored(spark, d))[k]
 
 
 @query
@@ -124,17 +128,17 @@ def stage4_stance(spark, d):
 
 @query
 def cascade_full(spark, d):
-    return FilterCascade().transform(_candidates(spark, d)).select("sample_id", "rank", "sentence", "stance", "confidence_score")
+    return FilterCascade().transform(_scored(spark, d)).select("sample_id", "rank", "sentence", "stance", "confidence_score")
 
 
 @query
 def cascade_stats(spark, d):
-    return FilterCascade().statistics(_candidates(spark, d))
+    return FilterCascade().statistics(_scored(spark, d))
 
 
 @query
 def multi_path_aggregate(spark, d):
-    return hops.multi_path(FilterCascade().scored(_candidates(spark, d)).select("sample_id", "sentence", F.col("quality_score").alias("score")))
+    return hops.multi_path(FilterCascade().scored(_scored(spark, d)).select("sample_id", "sentence", F.col("quality_score").alias("score")))
 
 
 @query
@@ -208,8 +212,9 @@ def threshold_recommendation(spark, d):
 
 
 def _coverage(spark, d):
-    rows = _candidates(spark, d)
-    return report.coverage(rows.select("sample_id"), FilterCascade().transform(rows).select("sample_id"))
+    docs = documents(spark, d)
+    context = samples_of(docs).select("sample_id", F.size("sentences").cast("long").alias("context")).where("context > 0")
+    return report.coverage(context, FilterCascade().transform(candidates(docs, scored=True)).select("sample_id"))
 
 
 @query
@@ -274,7 +279,7 @@ def stance_tiers(spark, d):
 
 @query
 def hybrid_merge(spark, d):
-    rows = FilterCascade().scored(_candidates(spark, d))
+    rows = FilterCascade().scored(_scored(spark, d))
     direct = rows.where(F.col("relevance_score") >= FilterConfig().min_relevance).select("sample_id", "ord", "sentence", F.col("relevance_score").alias("score"))
     return hops.hybrid(direct, rows.where(F.col("quality_score") >= 0.8).select("sample_id", "ord", "sentence", F.col("quality_score").alias("score")))
 

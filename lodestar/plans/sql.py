@@ -82,7 +82,7 @@ SQL = {
     "sentence_segments": f"WITH {SEGMENTS} SELECT sample_id, ord, sentence FROM segs",
     "text_normalize_dedup": rf"WITH {SEGMENTS} SELECT sample_id, ord, trim(regexp_replace(lower(sentence), '[\s\p{{Z}}]+', ' ', 'g')) AS dedup, trim(regexp_replace(replace(lower(sentence), '_', ' '), '[\s\p{{Z}}]+', ' ', 'g')) AS strong FROM segs",
     "text_normalize_basic": rf"WITH {SEGMENTS} SELECT sample_id, ord, trim(strip_accents(regexp_replace(lower(sentence), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS basic FROM segs",
-    "quality_analysis": f"WITH {SCORES} SELECT sample_id, ord, n AS word_count, round(density, 6) AS density, round(structure, 6) AS structure, round(richness, 6) AS richness, round(quality_score, 6) AS quality_score FROM scored",
+    "quality_analysis": f"WITH {SCORES} SELECT sample_id, ord, n AS word_count, round(density, 9) AS density, round(structure, 9) AS structure, round(richness, 9) AS richness, round(quality_score, 6) AS quality_score FROM scored",
     "relevance_analysis": f"WITH {SCORES} SELECT sample_id, ord, common AS overlap_count, round(CASE WHEN c_long = 0 THEN 0 ELSE common_long / c_long END, 6) AS coherence, gram AS has_gram, round(relevance_score, 6) AS relevance_score FROM scored",
     "jaccard_overlap": f"WITH {SCORES} SELECT sample_id, ord, round(0.4::DOUBLE * CASE WHEN len(s) + len(c) - common = 0 THEN 0 ELSE common / (len(s) + len(c) - common) END + 0.6::DOUBLE * CASE WHEN len(c) = 0 THEN 0 ELSE common / len(c) END, 6) AS overlap_score FROM scored",
     "entity_analysis": f"WITH {SCORES} SELECT sample_id, ord, hits AS entities_found, ne AS entities_total, round(entity_score, 6) AS entity_score FROM scored",
