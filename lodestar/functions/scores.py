@@ -115,3 +115,22 @@ def keyword_boost() -> Column:
     words = F.size(F.filter("cw", lambda x: (F.length(x) > 3) & ~F.array_contains(stop, x) & F.contains(F.col("low"), x)))
     special = sum(((F.contains(F.col("low"), F.lit(k)) | F.contains(F.col("low"), F.lit(k.replace("_", " ")))).cast("int") for k in BOOST_SPECIAL), F.lit(0))
     return F.least(F.lit(2.0), 1 + 0.1 * words + 0.2 * special)
+
+
+def entities_found() -> Column:
+    return F.filter("entities", lambda e: F.contains(F.col("low"), e))
+
+
+def phrases_found(phrases: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col("low"), p))
+
+
+def analyses(config: FilterConfig) -> dict[str, Column]:
+    """What the scores of a row with its words rest on, one struct for each."""
+    parts = quality_parts(config)
+    shared = F.sort_array(F.array_intersect("s", "c"))
+    quality_ = F.struct(F.size("w").alias("word_count"), meaningful(config).alias("meaningful_words"), *(parts[k].alias(k) for k in ("density", "structure", "richness")))
+    relevance_ = F.struct(overlap().alias("overlap_count"), ratio(overlap(), F.size("c")).alias("overlap_ratio"), shared.alias("shared_words"), coherence().alias("coherence"))
+    entity_ = F.struct(entities_found().alias("found"), entity_hits().alias("count"), ratio(entity_hits(), F.size("entities")).alias("coverage"))
+    contradiction_ = F.struct(*(phrases_found(ps).alias(k) for k, ps in config.contradiction.items()))
+    return {"quality_analysis": quality_, "relevance_analysis": relevance_, "entity_analysis": entity_, "contradiction_analysis": contradiction_}

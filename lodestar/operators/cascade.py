@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.lexicon import FilterConfig
+from ..functions.text import words_of
 
 
 def _all():
@@ -24,9 +25,8 @@ def here_or(chain, condition, value):
 class FilterCascade:
     """candidates(sample_id, ord, sentence, claim, entities[, score]) through quality, relevance, entities, stance, ranking."""
 
-    def __init__(self, config: FilterConfig | None = None, skip_entityless: bool = False):
-        """skip_entityless: stage 3 leaves samples without entities alone, as the reference does; the queries' SQL does not."""
-        self.config, self.skip_entityless = config or FilterConfig(), skip_entityless
+    def __init__(self, config: FilterConfig | None = None):
+        self.config = config or FilterConfig()
 
     def scored(self, df: DataFrame) -> DataFrame:
         c, df = self.config, scores.with_words(df.where("sentence <> ''"))
@@ -38,18 +38,21 @@ class FilterCascade:
         return df.where(F.col("quality_score") >= self.config.min_quality)
 
     def stage2(self, df: DataFrame) -> DataFrame:
-        """Rows of enough relevance; where a sample has none, its best half, five at least."""
+        """Rows of enough relevance; where a sample has none, its best half, five at least. With subject keywords (a column
+        `subjects`), a row that holds none of them counts as of no relevance, but in samples without any."""
+        if "subjects" in df.columns:
+            held = (F.size("subjects") == 0) | F.exists("subjects", lambda k: F.contains(F.lower("sentence"), k))
+            df = df.withColumn("relevance_score", F.when(held, F.col("relevance_score")).otherwise(0.0)).drop("subjects")
         good = F.col("relevance_score") >= self.config.min_relevance
         df = df.select("*", F.count("*").over(_all()).alias("n"), F.count_if(good).over(_all()).alias("k"), _ranked("r", F.desc("relevance_score"), "ord"))
         kept = df.where(good | ((F.col("k") == 0) & (F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(5)))))
         return kept.withColumn("ord", F.when(F.col("k") == 0, F.col("r").cast("long")).otherwise(F.col("ord"))).drop("n", "k", "r")
 
     def stage3(self, df: DataFrame) -> DataFrame:
-        """Rows with entities or near the claim; too few: the best half of the input by entity score; none: the input."""
+        """Rows with entities or near the claim; too few: the best half of the input by entity score; none, or a sample without
+        entities: the input."""
         c = self.config
-        good = (F.col("relevance_score") >= c.bypass) | (F.col("entity_score") >= c.min_entity)
-        if self.skip_entityless:
-            good &= F.size("entities") > 0  # no row is good, so all stay
+        good = ((F.col("relevance_score") >= c.bypass) | (F.col("entity_score") >= c.min_entity)) & (F.size("entities") > 0)
         df = df.select("*", F.count("*").over(_all()).alias("n"), F.count_if(good).over(_all()).alias("k"), _ranked("r", F.desc("entity_score"), "ord"))
         few = (F.col("k") > 0) & (F.col("k") < c.min_entity_keep)
         kept = df.where((F.col("k") == 0) | F.when(few, F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(c.min_entity_keep))).otherwise(good))
@@ -113,8 +116,20 @@ class FilterCascade:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stages(df)[-1]
 
+    def with_metadata(self, df: DataFrame) -> DataFrame:
+        """The cascade's rows with their scores as one struct."""
+        names = ("quality_score", "relevance_score", "entity_score", "contradiction_score", "confidence_score")
+        return self.transform(df).withColumn("filtering_metadata", F.struct(*names))
+
+    def with_fallback(self, df: DataFrame) -> DataFrame:
+        """The cascade's rows with `is_fallback`; a sample that it leaves without any keeps its row of the best `score`."""
+        kept = self.transform(df).withColumn("is_fallback", F.lit(False))
+        best = self.scored(df).select("*", _ranked("rank", F.desc("score"), "ord")).where("rank = 1")
+        best = best.join(kept.select("sample_id").distinct(), "sample_id", "left_anti").withColumns({"confidence_score": F.lit(0.0).cast("double"), "is_fallback": F.lit(True)})
+        return kept.unionByName(best, allowMissingColumns=True)
+
     def statistics(self, df: DataFrame) -> DataFrame:
-        """Rows of each sample after each stage, and its filtering rate."""
+        """Rows of each sample after each stage, and its filtering rate. The scores are worked out once for all stages."""
         stages = self.stages(df)
         marked = [s.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(k)) for k, s in enumerate(stages)]
         union = marked[0]
@@ -122,3 +137,28 @@ class FilterCascade:
             union = union.unionByName(m)
         wide = union.groupBy("sample_id").agg(*(F.coalesce(F.max(F.when(F.col("stage") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(len(stages))))
         return wide.withColumn("filtering_rate", F.round((1 - F.col(f"n{len(stages) - 1}") / F.col("n0")) * 100, 6))
+
+    def score_ranges(self, df: DataFrame) -> DataFrame:
+        """(sample_id, sentences, least, greatest and mean of three scores) of what the cascade keeps."""
+        stats = [g.alias(f"{n}_{c.split('_')[0]}") for c in ("quality_score", "relevance_score", "confidence_score") for n, g in (("min", F.min(c)), ("max", F.max(c)), ("avg", F.round(F.avg(c), 6)))]
+        return self.transform(df).groupBy("sample_id").agg(F.count("*").alias("sentences"), *stats)
+
+
+def best_scored(df: DataFrame, most: int) -> DataFrame:
+    """In place of the cascade: the rows of the best `score` of each sample."""
+    return df.select("*", _ranked("rank", F.desc("score"), "ord")).where(F.col("rank") <= most)
+
+
+def subject_keywords(claim, entities, parts: tuple[str, ...], words: tuple[str, ...], starts: tuple[str, ...]) -> F.Column:
+    """Subjects that a sentence should mention: entities with one of `parts`, and the claim's words that are one of `words` or
+    start with one of `starts`; lower-cased."""
+    of_entities = F.filter(F.transform(entities, F.lower), lambda e: any_of(F.contains, e, parts))
+    of_claim = F.filter(words_of(F.lower(claim)), lambda w: w.isin(*words) | any_of(F.startswith, w, starts))
+    return F.array_distinct(F.concat(of_entities, of_claim))
+
+
+def any_of(test, value, parts: tuple[str, ...]) -> F.Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | test(value, F.lit(p))
+    return out

@@ -41,3 +41,8 @@ def candidates(docs: DataFrame, scored: bool = False) -> DataFrame:
     worked out once for each document."""
     own = samples_of(docs).withColumn("entities", entities_of(F.col("claim")))
     return sentences(claim_words(own), *CLAIM_COLUMNS) if scored else sentences(own)
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """(sample_id, context, claim) of documents: the first sentence is the claim, the others the context."""
+    return samples_of(docs).where(F.size("sentences") > 0).select("sample_id", F.array_join("sentences", "\n").alias("context"), "claim")

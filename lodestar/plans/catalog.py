@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import scores, text
 from ..functions.lexicon import CONTRADICTION, FilterConfig
-from ..operators import beam, entities, graph, hops, report, similarity
-from ..operators.cascade import FilterCascade
-from ..operators.samples import candidates, documents, samples_of, segments
-from ..session import ship
-from .sql import SQL as SQL
+from ..operators import beam, entities, evidence_graph, graph, hops, paths, report, similarity
+from ..operators.cascade import FilterCascade, best_scored, subject_keywords
+from ..operators.samples import candidates, documents, entities_of, records, samples_of, segments
+from ..session import ship, written
+from .more_sql import SQL as SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "cascade_full"
@@ -203,7 +205,7 @@ def level_filter(spark, d):
 
 @query
 def similarity_buckets(spark, d):
-    return similarity.bucket_statistics(similarity.semantic_edges(_vectors(spark, d)))
+    return similarity.bucket_statistics(similarity.semantic_edges(_vectors(spark, d)), (-2.0, 0.2, 0.5, 2.0), ("low", "middle", "high"))
 
 
 @query
@@ -253,9 +255,14 @@ def multi_level_beam(spark, d):
     return beam.multi_level(documents(spark, d))
 
 
+def _evidence(spark, d):
+    rows = Engine().run(records(documents(spark, d)))
+    return rows.select("sample_id", "aggregation_rank", "hop", "sentence", "score", "confidence_score", "is_fallback")
+
+
 @query
 def multi_hop_run(spark, d):
-    return hops.run(documents(spark, d))
+    return _evidence(spark, d)
 
 
 def _claim_entities(spark, d):
@@ -286,7 +293,7 @@ def hybrid_merge(spark, d):
 
 @query
 def hop_statistics(spark, d):
-    return hops.hop_statistics(hops.run(documents(spark, d)))
+    return hops.hop_statistics(_evidence(spark, d))
 
 
 @query
@@ -297,3 +304,233 @@ def path_quality(spark, d):
 @query
 def direct_connection_search(spark, d):
     return beam.direct_connections(documents(spark, d))
+
+
+# ---- graphs as tables, and steps over them ----
+
+
+def _graph(spark, d):
+    return evidence_graph.build(records(documents(spark, d)))
+
+
+@query
+def graph_counts(spark, d):
+    return evidence_graph.counts(_graph(spark, d))
+
+
+@query
+def dependency_statistics(spark, d):
+    return evidence_graph.dependency_statistics(_graph(spark, d))
+
+
+@query
+def word_frequency(spark, d):
+    return evidence_graph.word_frequency(evidence_graph.tokens_of(records(documents(spark, d))), 5)
+
+
+@query
+def claim_word_neighbours(spark, d):
+    return evidence_graph.claim_words(_graph(spark, d)).select("sample_id", F.col("text").alias("word"))
+
+
+def _word_paths(spark, d):
+    graph = _graph(spark, d)
+    adjacent = paths.steps(graph, likeness=False)
+    return graph, adjacent, paths.step(paths.start(graph), adjacent, 10)
+
+
+def _named(graph, frame, at, name):
+    own = graph.nodes.select("sample_id", F.col("node_id").alias("named"), F.col("text").alias(name))
+    return frame.withColumn("named", F.element_at("nodes", at)).join(own, ["sample_id", "named"])
+
+
+@query
+def beam_one_step(spark, d):
+    graph, _, one = _word_paths(spark, d)
+    return _named(graph, one, 2, "word").select("sample_id", "rank", "word", r6("score").alias("score"))
+
+
+@query
+def beam_two_hop_topk(spark, d):
+    graph, adjacent, one = _word_paths(spark, d)
+    two = paths.step(one, adjacent.where("d_type = 'sentence'"), 20)
+    return _named(graph, two, 2, "word").select("sample_id", "rank", "word", F.regexp_replace(F.element_at("nodes", 3), "sentence_", "").cast("long").alias("sent_idx"), r6("score").alias("score"))
+
+
+@query
+def beam_frame_paths(spark, d):
+    """The search of beam_find_best as DataFrame steps."""
+    graph = evidence_graph.Graph(*map(written, _graph(spark, d)))
+    return paths.best_paths(graph)
+
+
+@query
+def path_summaries(spark, d):
+    return paths.described(beam.find_best(documents(spark, d))).select("sample_id", "rank", "length", "path_summary")
+
+
+@query
+def path_visits(spark, d):
+    return paths.quality(beam.find_best(documents(spark, d)))
+
+
+# ---- entities ----
+
+
+def _claim_lists(spark, d):
+    claims = samples_of(documents(spark, d))
+    found = evidence_graph.tokens_of(records(documents(spark, d))).where("phase = 1")
+    own = entities.tagged_phrases(found, breaks=()).groupBy("sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "entity"))), lambda x: x["entity"]).alias("phrases"))
+    return own.join(claims.select("sample_id", entities_of(F.col("claim")).alias("model")), "sample_id")
+
+
+@query
+def entity_sources(spark, d):
+    return entities.merged_entities(_claim_lists(spark, d))
+
+
+def _names(spark, d):
+    """Two lists of a claim's names: capitalised words as they stand, and its longer words."""
+    claim = F.col("claim")
+    return samples_of(documents(spark, d)).select("sample_id", "claim", F.regexp_extract_all(claim, F.lit("[A-Z][a-z]{3,}"), F.lit(0)).alias("first"), F.regexp_extract_all(claim, F.lit("[A-Za-z]{5,}"), F.lit(0)).alias("second"))
+
+
+@query
+def entity_union(spark, d):
+    return _names(spark, d).select("sample_id", F.posexplode(entities.union_entities(F.col("first"), F.col("second"))).alias("ord", "entity")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query
+def entity_score_lookup(spark, d):
+    rows = _names(spark, d)
+    own = rows.select("sample_id", F.explode(F.array_distinct("second")).alias("entity"))
+    known = rows.select("sample_id", F.posexplode("first").alias("ord", "name")).withColumn("score", F.length("name").cast("double"))
+    return entities.scores_of(own, known)
+
+
+# ---- what scores rest on ----
+
+
+def _analyses(spark, d):
+    rows = _words(spark, d)
+    return rows.select("sample_id", "ord", *(c.alias(n) for n, c in scores.analyses(FilterConfig()).items()))
+
+
+@query
+def quality_words(spark, d):
+    q = "quality_analysis."
+    return _analyses(spark, d).select("sample_id", "ord", F.col(q + "word_count").cast("long").alias("word_count"), F.col(q + "meaningful_words").cast("long").alias("meaningful_words"))
+
+
+@query
+def relevance_shared(spark, d):
+    q = "relevance_analysis."
+    return _analyses(spark, d).select("sample_id", "ord", r6(q + "overlap_ratio").alias("overlap_ratio"), F.array_join(q + "shared_words", " ").alias("shared_words"))
+
+
+@query
+def entity_coverage(spark, d):
+    q = "entity_analysis."
+    return _analyses(spark, d).select("sample_id", "ord", F.array_join(F.sort_array(q + "found"), " ").alias("found"), r6(q + "coverage").alias("coverage"))
+
+
+@query
+def contradiction_phrases(spark, d):
+    return _analyses(spark, d).select("sample_id", "ord", *(F.array_join(f"contradiction_analysis.{k}", ",").alias(k) for k in CONTRADICTION))
+
+
+@query
+def subject_relevance(spark, d):
+    """Stage 2 where sentences must hold a word of the claim that starts with th or un."""
+    rows = _scored(spark, d).withColumn("subjects", subject_keywords(F.col("claim"), F.array().cast("array<string>"), (), (), ("th", "un")))
+    c = FilterCascade()
+    return c.stage2(c.stage1(c.scored(rows))).select("sample_id", "ord", "sentence", "relevance_score")
+
+
+#: Strict enough that many samples are left without a sentence.
+STRICT = 0.9
+
+
+def _by_quality(spark, d, config=None):
+    rows = _scored(spark, d).withColumn("n", F.length("sentence"))
+    return rows.withColumn("score", (F.col("n") % 7 / 10).cast("double")).drop("n"), FilterCascade(config)
+
+
+@query
+def cascade_fallback(spark, d):
+    rows, cascade = _by_quality(spark, d, replace(FilterConfig(), min_quality=STRICT))
+    return cascade.with_fallback(rows).select("sample_id", "sentence", "is_fallback", r6("confidence_score").alias("confidence_score"))
+
+
+@query
+def best_scored_topk(spark, d):
+    rows, _ = _by_quality(spark, d)
+    return best_scored(rows, 5).select("sample_id", "ord", "rank", "score")
+
+
+@query
+def filtering_ranges(spark, d):
+    return FilterCascade().score_ranges(_scored(spark, d))
+
+
+@query
+def overall_averages(spark, d):
+    return report.averages(FilterCascade().transform(_scored(spark, d)))
+
+
+# ---- similarity ----
+
+
+@query
+def threshold_pass_fail(spark, d):
+    return similarity.passed(similarity.to_claim(_vectors(spark, d)), (-0.1, 0.0, 0.1, 0.2))
+
+
+@query
+def pairs_without_edges(spark, d):
+    v = _vectors(spark, d)
+    edges = similarity.semantic_edges(v).select("sample_id", F.col("b_id").alias("src"), F.col("a_id").alias("dst"))
+    pairs = similarity.pairs(v).where("similarity >= 0.1").select("sample_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
+    return evidence_graph.without_edges(pairs, edges)
+
+
+@query
+def sentence_claim_statistics(spark, d):
+    edges = similarity.to_claim(_vectors(spark, d)).where("similarity >= 0").select("sample_id", F.col("vec_id").alias("name"), F.repeat(F.concat(F.lit("vector "), F.col("vec_id")), 12).alias("text"), "similarity")
+    rows = similarity.claim_statistics(edges, (0.0, 0.1, 0.2, 0.3, 1.0))
+    listed = F.array_join(F.transform("connected_sentences", lambda x: F.concat_ws(":", x["sentence_id"].cast("string"), F.length(x["sentence_text"]).cast("string"))), ",")
+    return rows.withColumn("connected_sentences", listed)
+
+
+# ---- reports ----
+
+
+@query
+def coverage_shares(spark, d):
+    return report.with_share(report.histogram(_coverage(spark, d)))
+
+
+@query
+def evidence_shares(spark, d):
+    return report.with_share(report.evidence_sizes(_coverage(spark, d)))
+
+
+@query
+def hop_counters(spark, d):
+    rows = FilterCascade().scored(_scored(spark, d))
+    per = rows.groupBy("sample_id").agg(F.count_if(F.col("relevance_score") >= 0.15).alias("direct"), F.count_if(F.col("quality_score") >= 0.8).alias("searched"), F.floor(F.count("*") / 10).alias("levels"))
+    return report.hop_counters(per)
+
+
+@query
+def run_summary(spark, d):
+    docs = documents(spark, d)
+    good = records(docs)
+    bad = docs.select(F.col("doc_id").alias("sample_id")).join(good.select("sample_id"), "sample_id", "left_anti").withColumn("error", F.lit("no context"))
+    return report.run_summary(good, bad, num_hops=3).withColumn("failures", F.size("failures").cast("long"))
+
+
+@query
+def evidence_documents(spark, d):
+    """Detailed result documents of all samples, as JSON."""
+    return Engine().documents(records(documents(spark, d))).select("sample_id", F.to_json(F.struct("claim", "multi_level_evidence", "statistics")).alias("document"))

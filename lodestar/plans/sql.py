@@ -51,7 +51,7 @@ STAGES = (
     + f""", s1 AS (SELECT * FROM scored WHERE quality_score >= {C.min_quality}),
 a2 AS (SELECT *, count(*) OVER q AS m, count(*) FILTER (relevance_score >= {C.min_relevance}) OVER q AS k, row_number() OVER (PARTITION BY sample_id ORDER BY relevance_score DESC, ord) AS r FROM s1 WINDOW q AS (PARTITION BY sample_id)),
 s2 AS (SELECT * EXCLUDE (m, k, r) REPLACE (CASE WHEN k = 0 THEN r ELSE ord END AS ord) FROM a2 WHERE relevance_score >= {C.min_relevance} OR (k = 0 AND r <= greatest(m // 2, 5))),
-a3 AS (SELECT *, relevance_score >= {C.bypass} OR entity_score >= {C.min_entity} AS good FROM s2),
+a3 AS (SELECT *, (relevance_score >= {C.bypass} OR entity_score >= {C.min_entity}) AND ne > 0 AS good FROM s2),
 b3 AS (SELECT *, count(*) OVER q AS m, count(*) FILTER (good) OVER q AS k, row_number() OVER (PARTITION BY sample_id ORDER BY entity_score DESC, ord) AS r FROM a3 WINDOW q AS (PARTITION BY sample_id)),
 s3 AS (SELECT * EXCLUDE (m, k, r, good) REPLACE (CASE WHEN k > 0 AND k < {C.min_entity_keep} THEN r ELSE ord END AS ord) FROM b3
   WHERE k = 0 OR CASE WHEN k < {C.min_entity_keep} THEN r <= greatest(m // 2, {C.min_entity_keep}) ELSE good END),
