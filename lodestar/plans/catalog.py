@@ -180,16 +180,19 @@ def phrase_islands(spark, d):
 
 @query
 def embedding_pairs(spark, d):
+    """Within windows of 64 ids, which stand for samples."""
     return similarity.pairs(_vectors(spark, d)).select("sample_id", "a_id", "b_id", "similarity")
 
 
 @query
 def semantic_edges_same_class(spark, d):
+    """Within windows of 64 ids, which stand for samples."""
     return similarity.semantic_edges(_vectors(spark, d)).select("a_id", "b_id", "similarity")
 
 
 @query
 def embedding_knn(spark, d):
+    """Within windows of 64 ids, which stand for samples."""
     return similarity.nearest(_vectors(spark, d))
 
 
