@@ -129,14 +129,17 @@ class FilterCascade:
         return kept.unionByName(best, allowMissingColumns=True)
 
     def statistics(self, df: DataFrame) -> DataFrame:
-        """Rows of each sample after each stage, and its filtering rate. The scores are worked out once for all stages."""
-        stages = self.stages(df)
-        marked = [s.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(k)) for k, s in enumerate(stages)]
-        union = marked[0]
-        for m in marked[1:]:
-            union = union.unionByName(m)
-        wide = union.groupBy("sample_id").agg(*(F.coalesce(F.max(F.when(F.col("stage") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(len(stages))))
-        return wide.withColumn("filtering_rate", F.round((1 - F.col(f"n{len(stages) - 1}") / F.col("n0")) * 100, 6))
+        """Rows of each sample after each stage, and its filtering rate, in one pass: rows carry the counts of the stages before."""
+        every = df.where("sentence <> ''").groupBy("sample_id").agg(F.count("*").alias("n0"))
+        counted = lambda rows, n: rows.withColumn(n, F.count("*").over(_all()))
+        rows = counted(self.stage1(self.scored(df)), "n1")
+        rows = counted(self.stage2(rows), "n2")
+        rows = self.stage4(counted(self.stage3(rows), "n3"))
+        # what stage 5 keeps is told by the number of texts; no stage but the first leaves a sample without rows
+        texts = rows.groupBy("sample_id", "sentence").agg(F.count("*").alias("n"), *(F.max(n).alias(n) for n in ("n1", "n2", "n3")))
+        last = texts.groupBy("sample_id").agg(*(F.max(n).alias(n) for n in ("n1", "n2", "n3")), F.sum("n").alias("n4"), F.least(F.count("*"), F.lit(self.config.max_final)).alias("n5"))
+        wide = every.join(last, "sample_id", "left").select("sample_id", "n0", *(F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(1, 6)))
+        return wide.withColumn("filtering_rate", F.round((1 - F.col("n5") / F.col("n0")) * 100, 6))
 
     def score_ranges(self, df: DataFrame) -> DataFrame:
         """(sample_id, sentences, least, greatest and mean of three scores) of what the cascade keeps."""
