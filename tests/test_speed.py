@@ -47,6 +47,17 @@ def test_best_paths_from_a_sentence(linked):
             assert got == plain_from_sentence(g, "sentence_0", {"sentence_0", "sentence_1"}, 4, 5)[:most]
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_paths_above_a_score(linked):
+    r = random.Random(10)
+    for _ in range(60):
+        g = SampleGraph([" ".join(r.choice([*"abcdefgh", "New", "York"]) for _ in range(r.randint(1, 5))) for _ in range(r.randint(3, 9))], linked)
+        want = plain_from_sentence(g, "sentence_0", {"sentence_0", "sentence_1"}, 4, 5)
+        for above in {s for s, _ in want[:9]}:
+            got = g.from_sentence("sentence_0", {"sentence_0", "sentence_1"}, 4, 5, 3, above)
+            assert got == [x for x in want if x[0] > above][:3]
+
+
 def test_statistics_are_the_stages_counts(spark):
     from lodestar.functions.lexicon import FilterConfig
     from lodestar.operators.cascade import FilterCascade
