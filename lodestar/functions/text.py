@@ -15,6 +15,12 @@ _PAIRS = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
 MARKED, BARE = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
 
 
+def once(c: Column) -> Column:
+    """c as a column that a filter on it, or on one beside it, does not work out again: the optimizer writes a filter's columns
+    out and moves it below them, but not below what it takes for varying."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def normalize_basic(c: Column) -> Column:
     """Lower case, only letters and digits, without marks, one space between words."""
     words = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")

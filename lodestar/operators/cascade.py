@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.lexicon import FilterConfig
-from ..functions.text import words_of
+from ..functions.text import once, words_of
 
 
 def _all():
@@ -32,7 +32,7 @@ class FilterCascade:
         c, df = self.config, scores.with_words(df.where("sentence <> ''"))
         df = df.withColumns(scores.quality_parts(c))
         df = df.withColumns({"quality_score": scores.quality(), "relevance_score": scores.relevance(), "entity_score": scores.entity_score(), "contradiction_score": scores.contradiction(c)})
-        return df.withColumns({n: F.round(n, 9) for n in ("quality_score", "relevance_score", "entity_score", "contradiction_score")}).drop("w", "low", "s", *scores.CLAIM_COLUMNS)
+        return df.withColumns({n: once(F.round(n, 9)) for n in ("quality_score", "relevance_score", "entity_score", "contradiction_score")}).drop("w", "low", "s", *scores.CLAIM_COLUMNS)
 
     def stage1(self, df: DataFrame) -> DataFrame:
         return df.where(F.col("quality_score") >= self.config.min_quality)

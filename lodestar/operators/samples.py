@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import CLAIM_COLUMNS, claim_words
-from ..functions.text import sentences_of
+from ..functions.text import once, sentences_of
 from ..session import dealt
 
 
@@ -31,7 +31,7 @@ def entities_of(claim) -> F.Column:
 
 def samples_of(docs: DataFrame) -> DataFrame:
     """(sample_id, claim, sentences) of documents; those without text are left out."""
-    rows = docs.select(F.col("doc_id").alias("sample_id"), sentences_of(F.col("text")).alias("all")).where(F.size("all") > 0)
+    rows = docs.select(F.col("doc_id").alias("sample_id"), once(sentences_of(F.col("text"))).alias("all")).where(F.size("all") > 0)
     return rows.select("sample_id", F.get("all", F.lit(0)).alias("claim"), F.slice("all", 2, F.size("all")).alias("sentences"))
 
 
